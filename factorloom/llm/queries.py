@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, quality, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op3_bpe": bpe.op3_bpe,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op8_quality": quality.op8_quality,
         "op9_simhash": simhash.op9_simhash,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
