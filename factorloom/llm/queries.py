@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, quality, simhash, suffix_dedup
+from . import bpe, exact_dedup, html_extract, quality, simhash, suffix_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op3_bpe": bpe.op3_bpe,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_url_filter": url_filter.op5_url_filter,
+        "op6_html_extract": html_extract.op6_html_extract,
         "op8_quality": quality.op8_quality,
         "op9_simhash": simhash.op9_simhash,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
@@ -16,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.SQL}
+    return {"op4_exact_dedup": exact_dedup.SQL, "op5_url_filter": url_filter.SQL}
