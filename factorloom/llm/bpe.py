@@ -231,27 +231,38 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", vocabulary: st
     return docs.withColumn(out, ids(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
-def _digests(ranks, split):
+_RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digests(ranks, split, with_ids):
     def run(batches):
         bpe = coder(ranks.value, split)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            rows = []
-            for ids in bpe.encode(texts):
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
-            n, a, b = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            encoded = bpe.encode(batch.column(1).to_pylist())
+            columns = [
+                batch.column(0),
+                pa.array([len(ids) // 4 for ids in encoded], pa.int64()),
+                pa.array([hashlib.sha256(ids).hexdigest() for ids in encoded], pa.string()),
+                pa.array([hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in encoded], pa.string()),
+            ]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                offsets = np.cumsum([0, *(len(ids) // 4 for ids in encoded)], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<i4"))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; null and empty
-    texts have no tokens and the digest of nothing."""
+def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, with the ids
+    themselves as array<int> on request; null and empty texts have no tokens and
+    the digest of nothing. Repeated rows repeat; other columns are not looked at."""
     small_batches(docs.sparkSession, 512)
     ranks, split = _spread(docs.sparkSession, vocabulary, pattern)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    return source.mapInArrow(_digests(ranks, split), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(_digests(ranks, split, with_ids), _RESULT + (", ids array<int>" if with_ids else ""))
 
 
 def op3_bpe(spark, sf_dir):

@@ -62,6 +62,9 @@ class Featurizer:
         return set(text.lower().split()).union(chain(zip(shapes), zip(shapes, shapes[1:]), zip(shapes, shapes[1:], shapes[2:])))
 
 
+_featurizer = Featurizer()  # one in each worker
+
+
 def _name(feature) -> bytes:
     """A feature as bytes that no word can be: shapes follow a blank."""
     return feature if isinstance(feature, bytes) else b" " + b" ".join(feature)
@@ -156,7 +159,7 @@ def fit(samples: list[tuple[int, list[bytes]]], max_features: int = MAX_FEATURES
 
 
 def _extract(batches):
-    get = Featurizer()
+    get = _featurizer
     for batch in batches:
         found = [list(map(_name, get(t))) for t in batch.column("t").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.binary()))], names=["label", "features"])
@@ -186,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def _scores(model):
     def run(batches):
-        get, m = Featurizer(), model.value
+        get, m = _featurizer, model.value
         for batch in batches:
             scores = [m.score(get(t)) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
@@ -214,8 +217,7 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float =
 
     @F.pandas_udf("double")
     def score(texts):
-        get = Featurizer()
-        return texts.map(lambda t: sent.value.score(get(t or b"")))
+        return texts.map(lambda t: sent.value.score(_featurizer(t)))
 
     return docs.where(score(utf8(text)) >= least)
 
