@@ -1 +1 @@
-
+"""Planning of expression batches."""

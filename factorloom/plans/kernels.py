@@ -1,0 +1,93 @@
+"""Recursive and regression operators that no window function expresses.
+
+They run symbol by symbol on Arrow batches, all kernels of a step in one pass.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def sma(values: np.ndarray, d: int, m: int) -> np.ndarray:
+    """m/d of the value and the rest of the state before; the first finite value
+    starts it, a missing or infinite one ends it."""
+    out = np.full(len(values), np.nan)
+    if d == 0 or m > d:
+        return out
+    a = m / d
+    state = np.nan
+    ok = np.isfinite(values)
+    for i, v in enumerate(values.tolist()):
+        if ok[i]:
+            state = a * v + (1.0 - a) * state if state == state else v
+            if not np.isfinite(state):
+                out[i], state = state, np.nan
+                continue
+            out[i] = state
+        else:
+            state = np.nan
+    return out
+
+
+def solve(normal: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solutions of many 4 x 4 systems by elimination with row pivots; NaN where a
+    pivot is no greater than the machine epsilon."""
+    m = np.concatenate([normal, right[..., None]], axis=-1)
+    n = len(m)
+    good = np.ones(n, bool)
+    each = np.arange(n)
+    for p in range(4):
+        best = p + np.abs(m[:, p:, p]).argmax(axis=1)
+        m[each, best], m[:, p] = m[:, p].copy(), m[each, best].copy()
+        pivot = m[:, p, p]
+        good &= np.abs(pivot) > np.finfo(float).eps
+        with np.errstate(all="ignore"):
+            m[:, p] = m[:, p] / pivot[:, None]
+            for r in range(4):
+                if r != p:
+                    m[:, r] = m[:, r] - m[:, r, p, None] * m[:, p]
+    return np.where(good[:, None], m[:, :, 4], np.nan)
+
+
+def multi_resi(y: np.ndarray, x1: np.ndarray, x2: np.ndarray, x3: np.ndarray, d: int) -> np.ndarray:
+    """Last residual of the regression of y on three factors and a constant."""
+    out = np.full(len(y), np.nan)
+    if d < 5 or len(y) < d:
+        return out
+    x = np.stack([np.ones(len(y)), x1, x2, x3], axis=1)
+    rows = np.lib.stride_tricks.sliding_window_view
+    xs, ys = rows(x, d, axis=0), rows(y, d)  # windows x 4 x d, windows x d
+    ok = np.isfinite(xs).all(axis=(1, 2)) & np.isfinite(ys).all(axis=1)
+    if not ok.any():
+        return out
+    xs, ys = xs[ok], ys[ok]
+    beta = solve(xs @ xs.transpose(0, 2, 1), (xs @ ys[..., None])[..., 0])
+    out[np.flatnonzero(ok) + d - 1] = ys[:, -1] - (beta * xs[:, :, -1]).sum(axis=1)
+    return out
+
+
+_KERNELS = {"sma": sma, "multi_resi": multi_resi}
+
+
+def run_kernels(df: DataFrame, symbol: str, time: str, todo: list[tuple[str, str, list[Column], tuple]]) -> DataFrame:
+    """``df`` with a column for each (name, operator, arguments, parameters)."""
+    inputs = [(f"__k{i}_{j}", a) for i, (_, _, args, _) in enumerate(todo) for j, a in enumerate(args)]
+    before = df.columns
+    wide = df.select("*", *[a.alias(n) for n, a in inputs])
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n, *_ in todo]])
+    plain = [(name, op, [f"__k{i}_{j}" for j in range(len(args))], params) for i, (name, op, args, params) in enumerate(todo)]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(time, kind="stable")
+        out = group[before].copy()
+        for name, op, columns, params in plain:
+            values = _KERNELS[op](*[group[c].to_numpy(dtype=float, na_value=np.nan) for c in columns], *params)
+            out[name] = pd.array(np.where(np.isnan(values), 0.0, values), dtype="Float64")
+            out.loc[np.isnan(values), name] = pd.NA
+        return out
+
+    return wide.groupBy(symbol).applyInPandas(run, schema)
