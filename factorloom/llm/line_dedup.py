@@ -56,14 +56,17 @@ def _near(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     key = lambda i: F.xxhash64(F.concat(F.substring("line", F.lit(1), i - 1), F.substring(F.col("line"), i + 1, F.col("n"))))
     variants = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(i.alias("at"), key(i).alias("k")))
     whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("line").alias("k")))
-    each = written(lines.select("h", "g", "first", "line", F.explode(F.concat(variants, whole)).alias("v")).select("h", "g", "first", "line", "v.at", "v.k"), "variants")
-    best = F.min(F.struct("first", "line")).alias("best")
-    same = each.where("at > 0").join(each.where("at > 0").groupBy("at", "k").agg(best, F.count(F.lit(1)).alias("c")).where("c > 1"), ["at", "k"])
-    shorter = each.where("at > 0").join(each.where("at = 0").groupBy("k").agg(best), "k")
-    longer = each.where("at = 0").join(each.where("at > 0").groupBy("k").agg(best), "k")
-    cols = ["h", "g", "first", "line", "best"]
-    found = same.select(cols).union(shorter.select(cols)).union(longer.select(cols))
-    return found.where((F.col("best.first") < F.col("first")) & (F.levenshtein("line", F.col("best.line"), 1).between(0, 1))).select("h", "g").distinct()
+    each = written(lines.select("h", "g", "first", F.explode(F.concat(variants, whole)).alias("v")).select("h", "g", "first", "v.at", "v.k"), "variants")
+    deleted, plain = each.where("at > 0"), each.where("at = 0")
+    best = F.min(F.struct("first", "h", "g")).alias("best")
+    same = deleted.join(deleted.groupBy("at", "k").agg(best, F.count(F.lit(1)).alias("c")).where("c > 1"), ["at", "k"])
+    shorter = deleted.join(plain.groupBy("k").agg(best), "k")
+    longer = plain.join(deleted.groupBy("k").agg(best), "k")
+    cols = ["h", "g", F.col("best.h").alias("bh"), F.col("best.g").alias("bg"), "first", F.col("best.first").alias("was")]
+    found = same.select(cols).union(shorter.select(cols)).union(longer.select(cols)).where("was < first").select("h", "g", "bh", "bg").distinct()
+    own = lines.select("h", "g", "line")
+    other = lines.select(F.col("h").alias("bh"), F.col("g").alias("bg"), F.col("line").alias("earlier"))
+    return found.join(own, ["h", "g"]).join(other, ["bh", "bg"]).where(F.levenshtein("line", "earlier", 1).between(0, 1)).select("h", "g").distinct()
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
