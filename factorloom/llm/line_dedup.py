@@ -41,18 +41,23 @@ def _block_keys(line: Column, n: Column, blocks: int) -> Column:
 def _alike(lines: DataFrame) -> DataFrame:
     """h of the lines that share one of their ``keys`` with another line."""
     each = lines.select("h", F.explode("keys").alias("k"))
-    shared = each.groupBy("k").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("k")
-    return each.join(shared, "k").select("h").distinct()
+    shared = written(each.groupBy("k").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("k"), "shared_keys")
+    return each.join(_small(shared), "k", "left_semi").select("h").distinct()
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, broadcast if it is small enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def _within(lines: DataFrame, hashes: DataFrame) -> DataFrame:
     """Rows of ``lines`` whose h is listed."""
-    return lines.join(F.broadcast(hashes) if hashes.count() <= BROADCAST_ROWS else hashes, "h", "left_semi")
+    return lines.join(_small(hashes), "h", "left_semi")
 
 
 def _near(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     """h, g of the distinct lines with an earlier neighbour."""
-    lines = texts.join(firsts, ["h", "g"]).withColumn("n", F.length("line"))
+    lines = firsts.join(texts, ["h", "g"]).withColumn("n", F.length("line"))
     key = lambda i: F.xxhash64(F.concat(F.substring("line", F.lit(1), i - 1), F.substring(F.col("line"), i + 1, F.col("n"))))
     variants = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(i.alias("at"), key(i).alias("k")))
     whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("line").alias("k")))
@@ -88,18 +93,19 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", edits:
     halves = F.when(n >= least_chars, _block_keys(F.col("line"), n, 2))
     place = F.struct("doc_id", "th", "pos")
     placed = written(lines.select("doc_id", "th", "pos", "h", "g", *([halves.alias("keys")] if edits else [])), "lines")
-    firsts = placed.groupBy("h", "g").agg(F.min(place).alias("first"))
+    firsts = placed.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
     if edits:
-        firsts = written(firsts, "firsts")
         rough = written(_alike(placed), "alike")
+        listed = _small(rough).withColumn("listed", F.lit(True))
+        firsts = written(firsts.join(listed, "h", "left").where("c > 1 or listed").select("h", "g", "first", "c"), "firsts")
         texts = written(_within(lines.where(n >= least_chars), rough).select("h", "g", "line").dropDuplicates(["h", "g"]), "alike_lines")
         fine = written(_alike(texts.withColumn("keys", _block_keys(F.col("line"), n, 16))), "alike")
         near = written(_near(_within(texts, fine), firsts), "near")
-        firsts = firsts.join(near.withColumn("near", F.lit(True)), ["h", "g"], "left")
+        firsts = written(firsts.join(_small(near).withColumn("near", F.lit(True)), ["h", "g"], "left").where("c > 1 or near"), "repeated")
     else:
-        firsts = firsts.withColumn("near", F.lit(None).cast("boolean"))
+        firsts = written(firsts.where("c > 1").withColumn("near", F.lit(None).cast("boolean")), "repeated")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos"))
-    gone = placed.join(firsts, ["h", "g"]).where(F.col("near") | ~same)
+    gone = placed.join(_small(firsts), ["h", "g"]).where(F.col("near") | ~same)
     gone = gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("__gone")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__gone")
     joined = docs.withColumn("__own", th).join(gone, ident.eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left")
     every = F.split(body, "\n", -1)
