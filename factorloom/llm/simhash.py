@@ -41,7 +41,11 @@ def fingerprint(text: bytes) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) > 2 else [b" ".join(words)]
-    hashed = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype="<u8")
+    return print_of(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype="<u8"))
+
+
+def print_of(hashed: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes."""
     total = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashed), 1 << 14):
         bits = np.unpackbits(hashed[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -209,12 +213,5 @@ def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", max
     return rows.join(owned, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = 3) -> DataFrame:
-    """The documents of the least doc_id of each component, all columns kept."""
-    small = simhash_groups(docs, text, key, max_bits).where("doc_id = component_id or component_id is null")
-    kept = small.select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["__keep"]), "left_semi")
-
-
 def op9_simhash(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
