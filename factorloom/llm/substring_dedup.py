@@ -22,7 +22,7 @@ from .common import small_batches, table, text_key, utf8, written
 SPAN = 3
 #: Words after which a long sentence is cut and counts as several.
 LONG = 16
-#: A run of fewer words is no evidence of copying.
+#: A run of fewer words is no evidence of copying; it takes in more sentences.
 LEAST_WORDS = 8
 _END = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)")
 _PART = re.compile(r"(?:\s*\S+){1,%d}\s*" % LONG)
@@ -50,22 +50,45 @@ def sentences(text: str) -> list[str]:
     return [] if len(out) == 1 and out[0].isspace() else out
 
 
-def runs(parts: list[str], span: int, least_words: int) -> list[bytes | None]:
-    """128-bit hash of the run that begins at each sentence, white space made even;
-    None for runs of too few words. A text of fewer sentences is one run."""
+def runs(parts: list[str], span: int, least_words: int, extend: bool) -> list[tuple[int, int, bytes]]:
+    """Start, end and 128-bit hash (white space made even) of the run that begins
+    at each sentence. A text of fewer sentences is one run.
+
+    ``extend``: a run of fewer words than ``least_words`` goes on until it has
+    them, and the last run is the shortest one up to the end of the text; a text
+    that has fewer in all is one run. Else runs of too few words are left out."""
     words = [p.split() for p in parts]
     lines = [" ".join(w) for w in words]
     size = list(map(len, words))
-    n = max(1, len(parts) - span + 1) if parts else 0
-    return [xxhash.xxh3_128_digest("\n".join(lines[i : i + span])) if sum(size[i : i + span]) >= least_words else None for i in range(n)]
-
-
-def _hashes(span, least_words):
+    n = len(parts)
+    found = []
+    if not extend:
+        found = [(i, min(n, i + span)) for i in range(max(1, n - span + 1) if n else 0) if sum(size[i : i + span]) >= least_words]
+    elif n:
+        end = total = 0
+        for i in range(n):
+            while end < n and (end < i + span or total < least_words):
+                total += size[end]
+                end += 1
+            if i and (end < i + span or total < least_words):
+                break
+            found.append((i, end))
+            total -= size[i]
+        if found[-1][1] < n:
+            i, total = n - 1, size[n - 1]
+            while i and (n - i < span or total < least_words):
+                i -= 1
+                total += size[i]
+            found.append((i, n))
+    return [(i, j, xxhash.xxh3_128_digest("\n".join(lines[i:j]))) for i, j in found]
+
+
+def _hashes(span, least_words, extend):
     def run(batches):
         for batch in batches:
             rows, flat = [], []
             for row, text in enumerate(batch.column("t").to_pylist()):
-                found = set(runs(sentences(text.decode()), span, least_words)) - {None}
+                found = {h for _, _, h in runs(sentences(text.decode()), span, least_words, extend)}
                 rows += [row] * len(found)
                 flat += found
             take = pa.array(rows, pa.int64())
@@ -75,47 +98,46 @@ def _hashes(span, least_words):
     return run
 
 
-def cut(text: str, lost: dict[bytes, int | None], span: int, least_words: int) -> tuple[str, int, int, list]:
+def cut(text: str, lost: dict[bytes, int | None], span: int, least_words: int, extend: bool) -> tuple[str, int, int, list]:
     """Kept text, sentences, removed sentences, and the ids that hold the removed
     runs first."""
     parts = sentences(text)
     gone, seen, ids = [False] * len(parts), set(), set()
-    for i, h in enumerate(runs(parts, span, least_words)):
-        if h is None:
-            continue
+    for i, j, h in runs(parts, span, least_words, extend):
         if h in lost or h in seen:
-            gone[i : i + span] = [True] * len(gone[i : i + span])
+            gone[i:j] = [True] * (j - i)
             if h in lost and lost[h] is not None:
                 ids.add(lost[h])
         seen.add(h)
     return "".join(p for p, g in zip(parts, gone) if not g) if any(gone) else text, len(parts), sum(gone), sorted(ids)
 
 
-def _cuts(span, least_words):
+def _cuts(span, least_words, extend):
     def run(batches):
         for batch in batches:
             out = []
             for text, lost in zip(batch.column("t").to_pylist(), batch.column("lost").to_pylist()):
                 found = {x["a"].to_bytes(8, "little", signed=True) + x["b"].to_bytes(8, "little", signed=True): x["first"] for x in lost or ()}
-                out.append(cut(text.decode(), found, span, least_words))
+                out.append(cut(text.decode(), found, span, least_words, extend))
             text, n, gone, ids = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "text", "n_sentences", "n_removed", "source_ids"])
 
     return run
 
 
-def dedup_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", span: int = SPAN, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", span: int = SPAN, least_words: int = LEAST_WORDS, extend: bool = False) -> DataFrame:
     """One row per input row: doc_id, text (what is kept), n_sentences, n_removed,
     source_ids (the documents where the removed runs occur first).
 
     Earlier is the smaller doc_id (null first), then the smaller hash of the text,
     then the place in it. Null counts as empty; a text of fewer than ``span``
-    sentences is one run; repeated rows with the same id and text are one document
+    sentences is one run; runs of fewer than ``least_words`` words take in more
+    sentences with ``extend`` and are left out without; repeated rows with the same id and text are one document
     and lose nothing to each other; an empty table gives no rows; other columns are
     not looked at."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("t")).select("doc_id", text_key(F.col("t"), 2).alias("th"), "t")
-    hashed = written(source.mapInArrow(_hashes(span, least_words), "doc_id long, th long, a long, b long"), "runs")
+    hashed = written(source.mapInArrow(_hashes(span, least_words, extend), "doc_id long, th long, a long, b long"), "runs")
     again = hashed.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
     shared = written(hashed.join(again, "a"), "shared_runs")
     first = shared.groupBy("a", "b").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -123,9 +145,9 @@ def dedup_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", span:
     lost = written(later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b", F.col("first.doc_id").alias("first"))).alias("lost")), "lost_runs")
     pair = source["doc_id"].eqNullSafe(lost["doc_id"]) & (source["th"] == lost["th"])
     joined = source.join(lost, pair, "left").select(source["doc_id"], "t", "lost")
-    return joined.mapInArrow(_cuts(span, least_words), "doc_id long, text string, n_sentences long, n_removed long, source_ids array<long>")
+    return joined.mapInArrow(_cuts(span, least_words, extend), "doc_id long, text string, n_sentences long, n_removed long, source_ids array<long>")
 
 
 def op2_substring_dedup(spark, sf_dir):
-    found = dedup_spans(table(spark, sf_dir, "documents"))
+    found = dedup_spans(table(spark, sf_dir, "documents"), extend=True)
     return found.select("doc_id", "n_sentences", "n_removed", "source_ids", F.sha2(F.col("text"), 256).alias("kept_sha256"))
