@@ -20,18 +20,42 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, text_key, utf8, written
 
 SPAN = 3
-#: Words after which a long sentence is cut and counts as several.
+#: A sentence of more words is cut and counts as several.
 LONG = 16
 #: A run of fewer words is no evidence of copying; it takes in more sentences.
 LEAST_WORDS = 8
+#: Words of a window; a long sentence is cut after the least word of each.
+WINDOW = 8
 _END = re.compile(r"(?<=[.!?])(?=\s)|(?<=\n)")
-_PART = re.compile(r"(?:\s*\S+){1,%d}\s*" % LONG)
+_WORD = re.compile(r"\s*\S+\s*")
+
+
+def pieces(part: str) -> list[str]:
+    """A long sentence, cut after the word of least hash (the last of equals) of
+    every ``WINDOW`` consecutive words. The words around decide, not how far the
+    sentence's start is, so equal passages are cut alike but for their margins;
+    a piece has at most ``WINDOW`` words."""
+    words = _WORD.findall(part)
+    if len(words) <= LONG:
+        return [part]
+    rank = [xxhash.xxh3_64_intdigest(w.strip()) for w in words]
+    out, at, last = [], 0, -1
+    for i in range(len(words) - WINDOW + 1):
+        if last < i:
+            low = min(rank[i : i + WINDOW])
+            last = next(k for k in range(i + WINDOW - 1, i - 1, -1) if rank[k] == low)
+        elif rank[i + WINDOW - 1] <= rank[last]:
+            last = i + WINDOW - 1
+        if last >= at:
+            out.append("".join(words[at : last + 1]))
+            at = last + 1
+    return out + ["".join(words[at:])] if at < len(words) else out
 
 
 def sentences(text: str) -> list[str]:
     """Consecutive parts of ``text`` that add up to it: sentences end after . ! or ?
-    before white space, at line ends, and after every ``LONG`` words. Parts without
-    words belong to the one before."""
+    before white space and at line ends; those of over ``LONG`` words are cut into
+    ``pieces``. Parts without words belong to the one before."""
     out: list[str] = []
     for part in _END.split(text):
         if not part or part.isspace():
@@ -39,14 +63,10 @@ def sentences(text: str) -> list[str]:
                 out[-1] += part
             elif part:
                 out.append(part)
-        elif part.count(" ") < LONG:
-            if out and out[-1].isspace():
-                part = out.pop() + part
-            out.append(part)
         else:
             if out and out[-1].isspace():
                 part = out.pop() + part
-            out += _PART.findall(part)
+            out += pieces(part) if len(part) > 2 * LONG else [part]
     return [] if len(out) == 1 and out[0].isspace() else out
 
 
