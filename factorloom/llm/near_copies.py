@@ -135,8 +135,18 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bi
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents of the least doc_id of each group, all columns kept."""
+    """One document of each group, all columns kept: that of the least doc_id (null
+    last), then of the least hash of the text; one row of repeated ones."""
     rows = written(near_groups(docs, text, key), "grouped")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("least"))
-    kept = rows.join(least, "root").where("doc_id = least or least is null").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["__keep"]), "left_semi")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    least = rows.groupBy("root").agg(F.min(order).alias("x"))
+    kept = least.select(F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th"))
+    times = rows.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("__times"))
+    pair = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__th") == F.col("th"))
+    kept = written(kept.join(times, pair).select("__id", "__th", "__times"), "kept")
+    own = docs.withColumn("__own", text_key(utf8(text), 6))
+    found = own.join(kept, F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")))
+    many = found.where("__times > 1").dropDuplicates(["__id", "__th"])
+    if not kept.where("__times > 1").isEmpty():
+        found = found.where("__times = 1").union(many)
+    return found.select(docs.columns)

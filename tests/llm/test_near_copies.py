@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from factorloom.llm import near_copies
 
 SCHEMA = "doc_id long, text string"
@@ -40,3 +42,12 @@ def test_near_copies_of_similarity_four_fifths(spark):
     assert 20 < len(want) < len(texts) - 20
     assert sorted(r.doc_id for r in got) == want
     assert near_copies.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeated_rows_and_null_ids(spark):
+    a, b, c, d = (f"text {x} of words that are {x} like no other {x}" for x in "abcd")
+    rows = [(1, a), (1, a), (1, b), (None, c), (None, c), (None, d), (None, a), (None, d + "!"), (2, b), (3, None), (3, None)]
+    got = near_copies.keep_one(spark.createDataFrame(rows, SCHEMA).withColumn("t", F.lit(1))).collect()
+    want = [(1, a), (1, b), (None, c), (None, d), (None, d + "!"), (3, None)]
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t in want)
+    assert got[0].t == 1
