@@ -10,6 +10,7 @@ labelled rows (``sample_rows``, those of least hash); scoring reads all rows.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from itertools import chain
@@ -27,6 +28,7 @@ MAX_FEATURES = 1 << 17
 #: A feature counts if so many sampled texts have it.
 LEAST_TEXTS = 4
 _SHAPE = bytes(65 if 65 <= b < 91 else 48 if 48 <= b < 58 else 97 if 97 <= b < 123 or b >= 128 else b for b in range(256))
+_RUNS = re.compile(rb"(.)\1+", re.S)
 REMEMBERED = 200_000
 
 
@@ -41,12 +43,7 @@ class Featurizer:
     def _shape(self, word: bytes) -> bytes:
         found = self.shapes.get(word)
         if found is None:
-            last, out = -1, []
-            for b in word.translate(_SHAPE)[:64]:
-                if b != last:
-                    out.append(b)
-                last = b
-            found = bytes(out)
+            found = _RUNS.sub(rb"\1", word.translate(_SHAPE))
             if len(self.shapes) > REMEMBERED:
                 self.shapes.clear()
             self.shapes[word] = found
