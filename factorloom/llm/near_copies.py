@@ -52,19 +52,26 @@ def _long(lists: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def _parity(values: np.ndarray) -> np.ndarray:
+    """512 bits: whether an odd number of the set falls on each. Two sets differ
+    in as many shingles as their parities differ in bits, or more."""
+    return np.packbits(np.bincount((values >> np.uint64(20)).astype(np.int64) & 511, minlength=512) & 1, bitorder="little").view("<i8")
+
+
 def _rows(hot: np.ndarray, count: np.ndarray):
     def run(batches):
         for batch in batches:
-            sid, n, fp, first = [], [], [], []
+            sid, n, fp, parity, first = [], [], [], [], []
             for text in batch.column("t").to_pylist():
                 every = shingles(text)
                 values = np.unique(every)
                 sid.append(xxhash.xxh3_64_intdigest(values.tobytes()))
                 n.append(len(values))
                 fp.append(print_of(every))
+                parity.append(_parity(values))
                 first.append(_first(values, hot, count))
             whole = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (sid, n, fp)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *whole, _long(first)], names=["doc_id", "th", "sid", "n", "fp", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *whole, _long(parity), _long(first)], names=["doc_id", "th", "sid", "n", "fp", "parity", "first"])
 
     return run
 
@@ -87,9 +94,13 @@ def _order(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verified(pairs: DataFrame, source: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs u, v of sets that are similar enough."""
-    pairs = written(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(texts, "sid")
+    """The pairs u, v of sets that are similar enough. Sets of n and m shingles may
+    differ in (n + m) / 9 of them, so parities tell most of the others apart."""
+    side = lambda c: texts.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+    apart = sum((F.bit_count(F.col("pu")[i].bitwiseXOR(F.col("pv")[i])) for i in range(8)), F.lit(0))
+    pairs = pairs.distinct().join(side("u"), "u").join(side("v"), "v").where(9 * apart <= F.col("nu") + F.col("nv"))
+    pairs = written(pairs.select("u", "v"), "pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(texts.select("sid", "th"), "sid")
     sets = source.select("th", "t").join(wanted, "th").dropDuplicates(["sid"]).select("sid", "t").mapInArrow(_sets, "sid long, s array<long>")
     sets = written(sets, "sets")
     left, right = sets.select(F.col("sid").alias("u"), F.col("s").alias("su")), sets.select(F.col("sid").alias("v"), F.col("s").alias("sv"))
@@ -107,12 +118,12 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bi
     empty texts are one group."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("t")).select("doc_id", text_key(F.col("t"), 6).alias("th"), "t")
-    kinds = "doc_id long, th long, sid long, n long, fp long, first array<long>"
+    kinds = "doc_id long, th long, sid long, n long, fp long, parity array<long>, first array<long>"
     rows = written(source.mapInArrow(_rows(*_order(source)), kinds), "shingled")
-    sets = rows.groupBy("sid").agg(F.min("th").alias("th"), F.min("n").alias("n"), F.min("fp").alias("fp"))
+    sets = rows.groupBy("sid").agg(F.min("th").alias("th"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("parity").alias("parity"))
     sets = written(sets, "distinct_sets")
-    texts = sets.select("sid", "th")
-    each = rows.where("n > 1").join(texts, ["sid", "th"]).dropDuplicates(["sid"]).select("sid", "n", F.explode("first").alias("h"))
+    texts = sets.select("sid", "th", "n", "parity")
+    each = rows.where("n > 1").join(texts.select("sid", "th"), ["sid", "th"]).dropDuplicates(["sid"]).select("sid", "n", F.explode("first").alias("h"))
     again = rows.where("n > 1").select("sid", F.explode("first").alias("h")).groupBy("h").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y").select("h")
     shared = written(each.join(again, "h"), "shared_shingles")
     least = shared.groupBy("h").agg(F.min(F.struct("n", "sid")).alias("low"))
