@@ -144,7 +144,7 @@ def parse(page: str) -> Tree:
                     mark = int(a)
                 else:
                     found += _WORD.findall(a or b or c)
-            words = tuple(dict.fromkeys(w.lower() for w in found[:40]))
+            words = tuple(dict.fromkeys(w.lower() for w in found))
         node = tree.add(name, stack[-1], words, mark)
         if name not in VOID:
             stack.append(node)
