@@ -8,6 +8,7 @@ costs the recomputation of its own tasks only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,12 +19,18 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 
 
+#: Bytes of a table of fixed-width rows that may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, or, where it
-    is unset (tests on one machine), a folder of this process."""
+    """The folder for intermediate tables: ``spark.checkpoint.dir``. Where it is
+    unset, a folder of this process on a local master, and an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     global _own
     if _own is None:
         _own = "file://" + os.path.join(tempfile.gettempdir(), f"factorloom-{uuid.uuid4().hex}")
@@ -33,20 +40,42 @@ def shared_dir(spark: SparkSession) -> str:
 _own: str | None = None
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back. The table
-    goes when the JVM ends."""
+    goes with :func:`drop`, or when the JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` returned, once nothing reads them any more."""
+    for table in tables:
+        place, files = _place(table.sparkSession, table._written)
+        files.delete(place, True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of fixed-width columns, broadcast if all its rows fit in
+    ``BROADCAST_BYTES``, else joined by shuffle."""
+    width = 16 + sum(8 * max(1, str(t.dataType).count("Type") - 1) + 8 for t in df.schema)
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Rows of an Arrow batch, for the whole session: the same number for every
+    operator of this subpackage, so that no lazy plan depends on which came last."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def utf8(column: str) -> Column:

@@ -5,12 +5,15 @@ character edits. Lines within one edit share a variant: both lose the character
 at the same place (substitution), or one loses a character and becomes the other
 (insertion). The variants of a line are hashed keys; what is looked for at a key
 is the earliest line only, a minimum, so that many alike lines make no pairs;
-the two lines are then verified by their edit distance.
-
-Only lines that can have a neighbour emit variants. Cut into blocks, two lines
-within one edit agree outside one block; a line that agrees with no other line
-outside any of its 2, then of its 16 blocks has no neighbour and stays out. The
-search loses nothing by it. All steps are SQL and DataFrame functions.
+the two lines are then verified: without those characters their texts are equal.
+
+Which characters a line may lose is narrowed first. Cut into blocks, two lines
+within one edit agree outside one block. A line and block whose outside agrees
+with no other line has no neighbour there; what is left is cut again, until a
+block is short. Its variants lose one character of the block, and their keys
+combine the hash of the block's outside with that of the block. So a line of n
+characters costs n for each cut, not n variants of n characters, and the search
+loses nothing. All steps are SQL and DataFrame functions.
 """
 
 from __future__ import annotations
@@ -18,104 +21,135 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_key, written
+from .common import drop, small, table, text_key, written
 
 EDITS = 1
-#: Shorter lines must be equal to count as repeated.
-LEAST_CHARS = 20
-#: Line hashes that are still broadcast: 16 bytes each; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Blocks of the first cut, which every line gets, and of the later ones.
+HALVES, BLOCKS = 2, 16
+#: A block of so many characters is not cut any more.
+SHORT = 48
+#: A line of nothing else is blank.
+BLANK = " \t\n\x0b\f\r"
 
 
-def _block_keys(line: Column, n: Column, blocks: int) -> Column:
-    """Keys of a line without each of its blocks, cut as a line of its own length
-    is and as one of a character less is."""
+def _cuts(outside: Column, start: Column, block: Column, blocks: int) -> Column:
+    """(k, o, r) for each part of a block that starts at ``start``: the hash of all
+    outside it, where it starts in the line, and the part. A block is cut as one of its own length is and as one of a character less is,
+    where the character too many falls into the part."""
+    n = F.length(block)
 
-    def keys(size: Column, extra: int) -> list[Column]:
+    def parts(size: Column, extra: int) -> Column:
         at = lambda j: F.floor(size * j / blocks).cast("int")
-        return [F.xxhash64(size, F.lit(j), F.substring(line, F.lit(1), at(j)), F.substring(line, at(j + 1) + extra + 1, n)) for j in range(blocks)]
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(blocks - 1)),
+            lambda j: F.struct(
+                F.xxhash64(outside, size, j, F.substring(block, F.lit(1), at(j)), F.substring(block, at(j + 1) + extra + 1, n)).alias("k"),
+                (start + at(j)).alias("o"),
+                F.substring(block, at(j) + 1, at(j + 1) - at(j) + extra).alias("r"),
+            ),
+        )
 
-    return F.array(*keys(n, 0), *keys(n - 1, 1))
+    return F.concat(parts(n, 0), parts(n - 1, 1))
 
 
-def _alike(lines: DataFrame) -> DataFrame:
-    """h of the lines that share one of their ``keys`` with another line."""
-    each = lines.select("h", F.explode("keys").alias("k"))
-    shared = written(each.groupBy("k").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("k"), "shared_keys")
-    return each.join(_small(shared), "k", "left_semi").select("h").distinct()
+def _keys(outside: Column, block: Column, blocks: int) -> Column:
+    return F.transform(_cuts(outside, F.lit(0), block, blocks), lambda x: x["k"])
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """A written table, broadcast if it is small enough."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def _shared(each: DataFrame) -> DataFrame:
+    """The keys in column k that more than one line has."""
+    return written(each.groupBy("k").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("k"), "shared_keys")
 
 
-def _within(lines: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Rows of ``lines`` whose h is listed."""
-    return lines.join(_small(hashes), "h", "left_semi")
+def _narrowed(blocks: DataFrame) -> DataFrame:
+    """``blocks``: h, g of a line, k of what is outside a block, its start o, the block r. The
+    same for their parts, as far as another line has the same outside."""
+    while True:
+        long = blocks.where(F.length("r") > SHORT)
+        if long.isEmpty():
+            return blocks
+        shared = _shared(long.select("h", F.explode(_keys(F.col("k"), F.col("r"), BLOCKS)).alias("k")))
+        parts = long.select("h", "g", F.explode(_cuts(F.col("k"), F.col("o"), F.col("r"), BLOCKS)).alias("s")).select("h", "g", "s.*")
+        now = written(blocks.where(F.length("r") <= SHORT).union(parts.join(small(shared), "k", "left_semi").select("h", "g", "k", "o", "r")), "blocks")
+        drop(shared, blocks)
+        blocks = now
 
 
-def _near(texts: DataFrame, firsts: DataFrame) -> DataFrame:
+def _near(blocks: DataFrame, texts: DataFrame, firsts: DataFrame) -> DataFrame:
     """h, g of the distinct lines with an earlier neighbour."""
-    lines = firsts.join(texts, ["h", "g"]).withColumn("n", F.length("line"))
-    key = lambda i: F.xxhash64(F.concat(F.substring("line", F.lit(1), i - 1), F.substring(F.col("line"), i + 1, F.col("n"))))
-    variants = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(i.alias("at"), key(i).alias("k")))
-    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("line").alias("k")))
-    each = written(lines.select("h", "g", "first", F.explode(F.concat(variants, whole)).alias("v")).select("h", "g", "first", "v.at", "v.k"), "variants")
+    n = F.length("r")
+    key = lambda i: F.xxhash64("k", F.concat(F.substring("r", F.lit(1), i - 1), F.substring(F.col("r"), i + 1, n)))
+    variants = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((F.col("o") + i).alias("at"), key(i).alias("v"))))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("k", "r").alias("v")))
+    each = blocks.join(firsts.select("h", "g", "first"), ["h", "g"])
+    each = written(each.select("h", "g", "first", F.explode(F.concat(F.coalesce(variants, F.array().cast("array<struct<at:int,v:bigint>>")), whole)).alias("x")).select("h", "g", "first", "x.at", "x.v"), "variants")
     deleted, plain = each.where("at > 0"), each.where("at = 0")
-    best = F.min(F.struct("first", "h", "g")).alias("best")
-    same = deleted.join(deleted.groupBy("at", "k").agg(best, F.count(F.lit(1)).alias("c")).where("c > 1"), ["at", "k"])
-    shorter = deleted.join(plain.groupBy("k").agg(best), "k")
-    longer = plain.join(deleted.groupBy("k").agg(best), "k")
-    cols = ["h", "g", F.col("best.h").alias("bh"), F.col("best.g").alias("bg"), "first", F.col("best.first").alias("was")]
-    found = same.select(cols).union(shorter.select(cols)).union(longer.select(cols)).where("was < first").select("h", "g", "bh", "bg").distinct()
-    own = lines.select("h", "g", "line")
-    other = lines.select(F.col("h").alias("bh"), F.col("g").alias("bg"), F.col("line").alias("earlier"))
-    return found.join(own, ["h", "g"]).join(other, ["bh", "bg"]).where(F.levenshtein("line", "earlier", 1).between(0, 1)).select("h", "g").distinct()
-
-
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    best = F.min(F.struct("first", "h", "g", "at")).alias("best")
+    same = deleted.join(deleted.groupBy("at", "v").agg(best, F.count(F.lit(1)).alias("c")).where("c > 1"), ["at", "v"])
+    shorter = deleted.join(plain.groupBy("v").agg(best), "v")
+    longer = plain.join(deleted.groupBy("v").agg(best), "v")
+    cols = ["h", "g", "at", F.col("best.h").alias("bh"), F.col("best.g").alias("bg"), F.col("best.at").alias("bat"), "first", F.col("best.first").alias("was")]
+    found = same.select(cols).union(shorter.select(cols)).union(longer.select(cols)).where("was < first").select("h", "g", "at", "bh", "bg", "bat").distinct()
+    without = lambda c, at: F.when(F.col(at) == 0, F.col(c)).otherwise(F.concat(F.substring(c, F.lit(1), F.col(at) - 1), F.substring(F.col(c), F.col(at) + 1, F.length(c))))
+    own = texts.select("h", "g", "line")
+    other = texts.select(F.col("h").alias("bh"), F.col("g").alias("bg"), F.col("line").alias("earlier"))
+    near = found.join(own, ["h", "g"]).join(other, ["bh", "bg"]).where(without("line", "at") == without("earlier", "bat")).select("h", "g").distinct()
+    near = written(near, "near")
+    drop(each)
+    return near
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", edits: int = EDITS) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and columns n_lines
-    (lines that are not blank) and n_removed; names that ``docs`` has already are
-    replaced.
+    (lines that are not blank) and n_removed; columns of these names that ``docs``
+    has already are replaced, all others stay, whatever their names.
 
     Earlier is the smaller id (null first), then the smaller hash of the text, then
-    the place in it. Blank lines always stay and match nothing; lines of fewer than
-    ``least_chars`` characters match equal lines only. Null counts as empty;
-    repeated rows with the same id and text are one document and lose nothing to
-    each other; an empty table gives no rows."""
+    the place in it. Blank lines, of nothing but ASCII white space, always stay and
+    match nothing; lines are parted by line feeds, and a carriage return before one
+    is a character like any other. Null counts as empty and stays null; repeated
+    rows with the same id and text are one document and lose nothing to each other;
+    an empty table gives no rows. ``edits`` other than 0 and 1 is an error."""
+    if edits not in (0, 1):
+        raise ValueError(f"edits must be 0 or 1, not {edits!r}")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    ident = F.col(key).cast("long")
-    th = text_key(body, 3)
-    lines = docs.select(ident.alias("doc_id"), th.alias("th"), F.posexplode(F.split(body, "\n", -1)).alias("pos", "line")).where(F.trim("line") != "")
+    filled = lambda line: F.trim(line, F.lit(BLANK)) != ""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("doc_id"), text_key(body, 3).alias("th"), body.alias("body"))
+    lines = rows.select("doc_id", "th", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line")).where(filled(F.col("line")))
     lines = lines.withColumns({"h": text_key(F.col("line"), 4), "g": text_key(F.col("line"), 5)})
-    n = F.length("line")
-    halves = F.when(n >= least_chars, _block_keys(F.col("line"), n, 2))
     place = F.struct("doc_id", "th", "pos")
-    placed = written(lines.select("doc_id", "th", "pos", "h", "g", *([halves.alias("keys")] if edits else [])), "lines")
+    line = F.col("line")
+    placed = written(lines.select("doc_id", "th", "pos", "h", "g", *([_keys(F.lit(0), line, HALVES).alias("keys")] if edits else [])), "lines")
     firsts = placed.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
     if edits:
-        rough = written(_alike(placed), "alike")
-        listed = _small(rough).withColumn("listed", F.lit(True))
-        firsts = written(firsts.join(listed, "h", "left").where("c > 1 or listed").select("h", "g", "first", "c"), "firsts")
-        texts = written(_within(lines.where(n >= least_chars), rough).select("h", "g", "line").dropDuplicates(["h", "g"]), "alike_lines")
-        fine = written(_alike(texts.withColumn("keys", _block_keys(F.col("line"), n, 16))), "alike")
-        near = written(_near(_within(texts, fine), firsts), "near")
-        firsts = written(firsts.join(_small(near).withColumn("near", F.lit(True)), ["h", "g"], "left").where("c > 1 or near"), "repeated")
+        each = placed.select("h", F.explode("keys").alias("k"))
+        shared = _shared(each)
+        alike = written(each.join(small(shared), "k", "left_semi").select("h").distinct(), "alike")
+        listed = small(alike)
+        firsts = written(firsts.join(listed.withColumn("listed", F.lit(True)), "h", "left").where("c > 1 or listed").select("h", "g", "first", "c"), "firsts")
+        texts = written(lines.join(listed, "h", "left_semi").select("h", "g", "line").dropDuplicates(["h", "g"]), "alike_lines")
+        halves = texts.select("h", "g", F.explode(_cuts(F.lit(0), F.lit(0), line, HALVES)).alias("s")).select("h", "g", "s.*")
+        blocks = _narrowed(written(halves.join(small(shared), "k", "left_semi").select("h", "g", "k", "o", "r"), "blocks"))
+        near = _near(blocks, texts, firsts)
+        all_firsts = firsts
+        firsts = written(firsts.join(small(near).withColumn("near", F.lit(True)), ["h", "g"], "left").where("c > 1 or near"), "repeated")
+        drop(shared, alike, texts, blocks, near, all_firsts)
     else:
         firsts = written(firsts.where("c > 1").withColumn("near", F.lit(None).cast("boolean")), "repeated")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos"))
-    gone = placed.join(_small(firsts), ["h", "g"]).where(F.col("near") | ~same)
-    gone = gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("__gone")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__gone")
-    joined = docs.withColumn("__own", th).join(gone, ident.eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left")
-    every = F.split(body, "\n", -1)
-    kept = F.array_join(F.filter(every, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    gone = placed.join(small(firsts), ["h", "g"]).where(F.col("near") | ~same)
+    gone = written(gone.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone")), "gone")
+    drop(placed, firsts)
+    a, b = rows.alias("a"), gone.alias("b")
+    joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left").select("row", "body", "gone")
+    joined = joined.withColumn("every", F.split("body", "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size("every") - 1), F.col("gone"))
     new = {
-        "n_lines": F.size(F.filter(every, lambda x: F.trim(x) != "")),
-        "n_removed": F.coalesce(F.size("__gone"), F.lit(0)),
-        text: F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept),
+        text: F.when(F.col("gone").isNull(), F.col(f"row.`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.col("every")[i]), "\n")),
+        "n_lines": F.size(F.filter("every", filled)),
+        "n_removed": F.coalesce(F.size("gone"), F.lit(0)),
     }
-    return joined.withColumns(new).drop("__own", "__id", "__th", "__gone")
+    return joined.select(*[new.pop(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns], *[c.alias(n) for n, c in new.items()])
 
 
 def op7_line_dedup(spark, sf_dir):
@@ -125,9 +159,9 @@ def op7_line_dedup(spark, sf_dir):
 
 SQL = r"""
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
-l as (select doc_id, k as pos, ls[k] as line, length(ls[k]) as n from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as k from d) where trim(ls[k], ' ') <> ''),
+l as (select doc_id, k as pos, ls[k] as line, length(ls[k]) as n from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as k from d) where regexp_matches(ls[k], '[^\x20\x09-\x0D]')),
 u as (select line, n, min({'d': doc_id, 'p': pos}) as f from l group by line, n),
-h as (select line, n, f, s, left(line, (s // 2)::bigint) as a, right(line, (s - s // 2)::bigint) as b from (select *, unnest([n, n - 1]) as s from u where n >= 20)),
+h as (select line, n, f, s, left(line, (s // 2)::bigint) as a, right(line, (s - s // 2)::bigint) as b from (select *, unnest([n, n - 1]) as s from u)),
 c as (select x.line as x, y.line as y, x.n as nx, y.n as ny, x.f as fx from h x join h y on x.s = y.s and x.a = y.a and y.f < x.f
       union select x.line, y.line, x.n, y.n, x.f from h x join h y on x.s = y.s and x.b = y.b and y.f < x.f),
 e as (select distinct x from c where

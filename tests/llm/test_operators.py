@@ -221,8 +221,8 @@ def test_lines(spark):
         for d, t in sorted(unique, key=lambda x: (x[0] is not None, x[0] or 0, th[x[1]])):
             kept = []
             for x in t.split("\n"):
-                gone = x.strip(" ") and any(x == y or (min(len(x), len(y)) >= 20 and within_one(x, y)) for y in seen)
-                if x.strip(" "):
+                gone = x.strip(line_dedup.BLANK) and any(within_one(x, y) for y in seen)
+                if x.strip(line_dedup.BLANK):
                     seen.append(x)
                 if not gone:
                     kept.append(x)
