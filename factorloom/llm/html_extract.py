@@ -15,6 +15,7 @@ import html
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -29,11 +30,17 @@ BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split()
 )
 RAW = frozenset("script style template noscript iframe noframes noembed svg math object audio video canvas title textarea xmp".split())
+#: Of these, those whose content is text up to their end tag, or to the end of the page.
+TEXT_ONLY = frozenset("script style noscript iframe noframes noembed title textarea xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag closes, and the elements beyond which it does not look.
 _P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody"}, {"table"}), "body": ({"head"}, {"html"})}
-_TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+_P_BOUNDS = frozenset("td th button li div section article".split())
+_START = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_COMMENT_END = re.compile(r"--!?>")
+#: The rest of a tag; no way back into it, so that its cost is its length.
+_REST = re.compile(r"""((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -52,14 +59,77 @@ class Tree:
         return len(self.tag) - 1
 
 
+class Scanner:
+    """Tags of a page one after the other, in time that is linear in the page.
+
+    A tag ends at the first ``>`` outside of quotes. If a quote stays open to the
+    end of the page, that tag and all later ones end at their first ``>``. A tag
+    or declaration without any ``>`` behind it ends the page; an open comment too."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.quotes = page, True
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str]:
+        """From ``at``: start and end of the next tag, comment or declaration, and
+        a tag's name (None for others), whether it closes, and its attributes."""
+        page = self.page
+        m = _START.search(page, at)
+        if m is None:
+            return len(page), len(page), None, False, ""
+        start, end = m.start(), m.end()
+        if m[1]:
+            if page.startswith((">", "->"), end):
+                return start, page.index(">", end) + 1, None, False, ""
+            close = _COMMENT_END.search(page, end)
+            return start, close.end() if close else len(page), None, False, ""
+        if self.quotes and m[3]:
+            rest = _REST.match(page, end)
+            if rest:
+                return start, rest.end(), m[3].lower(), bool(m[2]), rest[1]
+            self.quotes = False
+        stop = page.find(">", end)
+        if stop < 0:
+            return start, len(page), None, False, ""
+        return start, stop + 1, m[3].lower() if m[3] else None, bool(m[2]), page[end:stop] if m[3] else ""
+
+
+class Open:
+    """The open elements, and the heights at which each tag is open."""
+
+    def __init__(self, tree: Tree) -> None:
+        self.tree, self.stack = tree, [0]
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, node: int) -> None:
+        self.at.setdefault(self.tree.tag[node], []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, height: int) -> None:
+        """Close all elements from ``height`` on."""
+        for node in reversed(self.stack[height:]):
+            self.at[self.tree.tag[node]].pop()
+        del self.stack[height:]
+
+    def last(self, tags) -> int:
+        """Height of the topmost element with one of the tags; 0: none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def lowest(self, tags, above: int) -> int:
+        """Height of the lowest such element above a height; 0: none."""
+        found = [h[k] for t in tags if (h := self.at.get(t)) and (k := bisect_right(h, above)) < len(h)]
+        return min(found, default=0)
+
+
 def parse(page: str) -> Tree:
     """Tree of a page, closed or not, with character references decoded and white
-    space in each leaf turned into one space."""
+    space in each leaf turned into one space. The cost is linear in the page."""
     tree = Tree()
-    stack = [0]
+    open_ = Open(tree)
+    stack = open_.stack
     run: list[str] = []
     linked = 0
     link = 0  # stack height at which a link opened
+    endless: set[str] = set()  # raw elements without an end tag in the rest of the page
 
     def flush() -> None:
         nonlocal linked
@@ -71,10 +141,9 @@ def parse(page: str) -> Tree:
         linked = 0
 
     at, end = 0, len(page)
-    search, unescape = _TAG.search, html.unescape
+    scan, unescape = Scanner(page).next, html.unescape
     while at < end:
-        m = search(page, at)
-        stop = m.start() if m else end
+        stop, after, name, closing, attrs = scan(at)
         if stop > at:
             part = page[at:stop]
             if "&" in part:
@@ -82,36 +151,34 @@ def parse(page: str) -> Tree:
             run.append(part)
             if link:
                 linked += len(part)
-        if not m:
-            break
-        at = m.end()
-        name = m[2] or m[5]
+        at = after
         if not name:
             continue
-        name = name.lower()
-        closing, attrs = m[1] or m[4], m[3] or m[6] or ""
         if closing:
             if name == "a":
                 link = 0
             elif name == "br":
                 run.append(" ")
             elif name in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tree.tag[stack[k]] == name:
-                        flush()
-                        del stack[k:]
-                        if link > len(stack):
-                            link = 0
-                        break
-                else:
-                    if name == "p":
-                        flush()
+                height = open_.last((name,))
+                if height:
+                    flush()
+                    open_.cut(height)
+                    if link > len(stack):
+                        link = 0
+                elif name == "p":
+                    flush()
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             if attrs.endswith("/") and name in ("svg", "math"):
                 continue
-            at = close.start() if close else end
+            close = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+            if close:
+                at = close.start()
+            elif name in TEXT_ONLY:
+                at = end
+            else:  # left open: the tag alone is left out
+                endless.add(name)
             continue
         if name == "a":
             link = len(stack)
@@ -122,32 +189,25 @@ def parse(page: str) -> Tree:
         flush()
         if name in _CLOSES:
             gone, beyond = _CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                tag = tree.tag[stack[k]]
-                if tag in beyond:
-                    break
-                if tag in gone:
-                    del stack[k:]
+            height = open_.lowest(gone, open_.last(beyond))
+            if height:
+                open_.cut(height)
         elif name in _P:
-            for k in range(len(stack) - 1, max(0, len(stack) - 8), -1):
-                tag = tree.tag[stack[k]]
-                if tag == "p":
-                    del stack[k:]
-                    break
-                if tag in ("td", "th", "button", "li", "div", "section", "article"):
-                    break
+            height = open_.last(("p",))
+            if height > open_.last(_P_BOUNDS):
+                open_.cut(height)
         words, mark = (), None
         if attrs:
             found = []
             for key, a, b, c in _ATTR.findall(attrs):
                 if key == "data-y":
-                    mark = int(a)
+                    mark = int(a) if a in ("0", "1") else None
                 else:
                     found += _WORD.findall(a or b or c)
             words = tuple(dict.fromkeys(w.lower() for w in found))
         node = tree.add(name, stack[-1], words, mark)
         if name not in VOID:
-            stack.append(node)
+            open_.push(node)
     flush()
     for i in range(len(tree.tag) - 1, 0, -1):
         tree.size[tree.parent[i]] += tree.size[i]
@@ -244,7 +304,10 @@ class Model:
         return out
 
     def extract(self, page: str) -> str:
+        """The main text. A page without any block-level element is text as a whole."""
         tree = parse(page)
+        if all(t == "#text" for t in tree.tag[1:]):
+            return "\n".join(tree.text[1:])
         found = self.marginals(tree)
         return "\n".join(t for t, p in zip(tree.text, found) if t is not None and p > 0.5)
 
@@ -404,8 +467,8 @@ def _texts(model):
 def extract(pages: DataFrame, page: str = "html", key: str = "page_id", url: str = "url", model: Model | None = None) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points of the text).
 
-    Null and empty pages have an empty text; repeated rows repeat; tags may be
-    left open; other columns are not looked at."""
+    Null and empty pages have an empty text; a page without any block-level element
+    is text as a whole; repeated rows repeat; tags may be left open; other columns are not looked at."""
     spark = pages.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model or train())  # a few hundred features
