@@ -3,11 +3,17 @@
 Every text gets a 64-bit fingerprint of its three-word shingles. The distinct
 fingerprints form a binary trie; pairs of its nodes are walked together from
 the top, the bits in which they differ are added up, and a pair of nodes is
-dropped as soon as it differs in more than ``max_bits`` bits. The trie's top
-``depth`` levels deal the node pairs out to tasks; each task walks its pair in
-blocks of bounded size and passes on a spanning forest of its links, not the
-links themselves, so a large group of copies costs as many rows as it has
-members. Star contraction joins the forests.
+dropped as soon as it differs in more than ``max_bits`` bits.
+
+The tries are dealt out by their top bits. Two fingerprints that differ in
+``max_bits`` bits are equal in one of ``max_bits + 1`` blocks of bits, so there is
+a trie for each block, with that block on top, and only nodes of equal top bits
+have to be walked together: a fingerprint goes to as many tasks as there are
+blocks, whatever the corpus. A node that holds too many fingerprints is dealt
+out again by the blocks of its other bits. A task walks its trie in blocks of
+bounded size and passes on a spanning forest of its links, not the links
+themselves, so a large group of copies costs as many rows as it has members.
+Star contraction joins the forests.
 """
 
 from __future__ import annotations
@@ -17,16 +23,18 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, utf8, written
+from .common import small, small_batches, table, utf8, written
 from .components import components
 
 BITS = 64
 SEED = 42
-#: Fingerprints below one node at which a task starts, about.
-NODE = 1 << 17
+#: Fingerprints below one node at which a task starts, about, and those at which
+#: it is dealt out again.
+NODE = 1 << 16
+DENSE = 1 << 19
 #: Pairs of fingerprints compared at once, and pairs of nodes walked at once.
 BLOCK = 1 << 19
 #: A pair of nodes with at most so many pairs of fingerprints is compared outright.
@@ -150,50 +158,60 @@ def _compare(values: np.ndarray, pairs: np.ndarray, few: np.ndarray, max_bits: i
                 forest.join(i[near], j[near])
 
 
-def _walk(depth: int, max_bits: int):
+def _walk(fixed: int, max_bits: int):
     def walk(group: pa.Table) -> pa.Table:
-        fps = group.column("fp").to_numpy().view(np.uint64)
-        side = group.column("side").to_numpy()
-        mask = int(group.column("mask")[0].as_py())
-        left, right = np.sort(fps[side == 0]), np.sort(fps[side == 1])
-        u = v = np.empty(0, dtype=np.int64)
-        values = left
-        if mask == 0 and len(left) > 1:
-            forest = _Forest(len(left))
-            links(values, 0, BITS - 1 - depth, max_bits, 0, forest)
-        elif len(left) and len(right):
-            values = np.concatenate([left, right])
-            forest = _Forest(len(values))
-            links(values, len(left), BITS - 1 - depth, max_bits, mask.bit_count(), forest)
-        else:
-            forest = _Forest(0)
-        moved = np.flatnonzero(forest.parent != np.arange(len(forest.parent)))
-        if len(moved):
-            u, v = values[moved].view(np.int64), values[forest.parent[moved]].view(np.int64)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        """Links of the fingerprints below one node, ``fixed`` of whose bits are equal."""
+        turned = group.column("p").to_numpy().view(np.uint64)
+        order = np.argsort(turned)
+        values, fps = turned[order], group.column("fp").to_numpy()[order]
+        forest = _Forest(len(values))
+        if len(values) > 1:
+            links(values, 0, BITS - 1 - fixed, max_bits, 0, forest)
+        moved = np.flatnonzero(forest.parent != np.arange(len(values)))
+        return pa.table({"u": pa.array(fps[moved], pa.int64()), "v": pa.array(fps[forest.parent[moved]], pa.int64())})
 
     return walk
 
 
-def near_links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
+def _turned(fixed: int, max_bits: int) -> tuple[Column, int]:
+    """(route, p) for each block of the bits below the ``fixed`` top ones of p: p with
+    that block moved up behind them; and the bits of a block."""
+    low = BITS - fixed
+    wide = low // (max_bits + 1)
+    mask = (1 << low) - 1
+    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+    p = F.col("p")
+
+    def turn(k: int) -> Column:
+        if k == 0:
+            return p
+        rest = p.bitwiseAND(signed(mask))
+        moved = F.shiftleft(rest, k).bitwiseOR(F.shiftrightunsigned(rest, low - k)).bitwiseAND(signed(mask))
+        return p.bitwiseAND(signed(((1 << 64) - 1) ^ mask)).bitwiseOR(moved)
+
+    return F.array(*[F.struct((F.col("route") * (max_bits + 1) + j).alias("route"), turn(j * wide).alias("p")) for j in range(max_bits + 1)]), wide
+
+
+def near_links(distinct: DataFrame, max_bits: int = 3, node: int = NODE, dense: int = DENSE) -> DataFrame:
     """Edges u, v of a spanning forest of each task's links among the distinct
     fingerprints in column fp."""
-    n = distinct.count()
-    depth = max(3, math.ceil(math.log2(max(1, n) / NODE)))
-    masks = [m for m in range(1 << depth) if m.bit_count() <= max_bits] if depth <= 16 else _masks(depth, max_bits)
-    prefix = F.shiftrightunsigned("fp", BITS - depth)
-    dealt = (
-        distinct.select("fp", prefix.alias("p"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
-        .withColumn("q", F.col("p").bitwiseXOR(F.col("mask")))
-        .select("fp", F.least("p", "q").alias("node"), "mask", (F.col("p") > F.col("q")).cast("int").alias("side"))
-    )
-    return dealt.groupBy("node", "mask").applyInArrow(_walk(depth, max_bits), "u long, v long")
-
-
-def _masks(depth: int, max_bits: int) -> list[int]:
-    from itertools import combinations
-
-    return [sum(1 << b for b in c) for k in range(max_bits + 1) for c in combinations(range(depth), k)]
+    rows = distinct.select("fp", F.lit(0).cast("long").alias("route"), F.col("fp").alias("p"))
+    n, fixed, out = distinct.count(), 0, None
+    while n:
+        blocks, wide = _turned(fixed, max_bits)
+        if not wide:
+            break
+        fixed += min(wide, max(3, math.ceil(math.log2(n / node))))
+        rows = rows.select("fp", F.explode(blocks).alias("b")).select("fp", "b.*").withColumn("node", F.shiftrightunsigned("p", BITS - fixed))
+        crowded = written(rows.groupBy("route", "node").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > dense), "crowded")
+        n = crowded.agg(F.sum("c")).first()[0] or 0
+        n = n if _turned(fixed, max_bits)[1] else 0  # too few bits are left to deal by
+        light = rows.join(small(crowded.select("route", "node")), ["route", "node"], "left_anti") if n else rows
+        found = light.groupBy("route", "node").applyInArrow(_walk(fixed, max_bits), "u long, v long")
+        out = found if out is None else out.union(found)
+        if n:
+            rows = written(rows.join(small(crowded.select("route", "node")), ["route", "node"], "left_semi").select("fp", "route", "p"), "dense")
+    return out if out is not None else distinct.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = 3) -> DataFrame:
