@@ -44,8 +44,8 @@ def empty(spark):
 
 
 def test_exact(spark):
-    for rows, bits in ((ODD, 62), (corpus(), 62), (corpus(), 3)):
-        got = exact_dedup.exact_groups(frame(spark, rows), fingerprint_bits=bits).collect()
+    for rows, bits, part in ((ODD, 62, 1 << 22), (corpus(), 62, 1 << 22), (corpus(), 3, 1 << 22), (ODD, 62, 5), (corpus(), 62, 40), (corpus(), 3, 100)):
+        got = exact_dedup.exact_groups(frame(spark, rows), fingerprint_bits=bits, part=part).collect()
         body = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
         groups: dict = {}
         for d, t in rows:
