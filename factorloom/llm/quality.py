@@ -170,7 +170,7 @@ def held_out(key: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS, strength: float = 1.0) -> Model:
     """Fit on ``sample_rows`` labelled rows at most. Held-out rows, null ids and
     labels other than 0 and 1 are left out; of several labels of an id the
-    greatest counts."""
+    greatest counts, and of several texts the least."""
     small_batches(docs.sparkSession)
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key))
     chosen = (
@@ -179,6 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     )
     source = docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias("t"))
     found = source.join(F.broadcast(chosen), "id").select("id", "label", "t")  # sample_rows rows at most
+    found = found.groupBy("id").agg(F.min("label").alias("label"), F.min("t").alias("t"))
     got = found.select("label", "t").mapInArrow(_extract, "label int, features array<binary>").toArrow()
     samples = sorted(zip(got.column("label").to_pylist(), map(sorted, got.column("features").to_pylist())))
     return fit(samples, strength=strength)
