@@ -4,11 +4,11 @@ The labels of a host in reverse, each with a dot behind it, make a key under
 which a host and all its subdomains are one interval: ``com.example.`` up to,
 not including, the first key without that prefix. Rules and distinct hosts are
 sorted together within ranges of keys, a rule going to every range that its
-interval meets, and swept in order. The stack of a rule is itself and all rules
-whose intervals enclose it; at a host, the stack of the rule that began last
-holds every rule that is still open, and rules that have ended drop out. Of the
-open rules the longest whose path fits the page's wins. All steps are SQL and
-DataFrame functions.
+interval meets, and swept in order. Intervals nest, so the rules that are open at
+a place in the sweep form a stack, one slot for each number of labels: a rule
+that begins fills the slot of its depth, and a slot counts until the sweep has
+passed the end of its rule's interval. Of the open rules the longest whose path
+fits the page's wins. All steps are SQL and DataFrame functions.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: (host, path, verdict); the path starts at the first slash.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 DEFAULT = "allow"
-#: Ranges of keys that the sweep is dealt out over.
-RANGES = 64
+#: Distinct hosts in a range of keys, about, and ranges at least; the sweep is dealt
+#: out over them.
+RANGE_HOSTS, RANGES = 1 << 17, 64
 #: Behind every key of a prefix: no character of a host sorts after it.
 _PAST = "\U0010ffff"
 
@@ -45,16 +46,6 @@ def host_key(host: Column) -> Column:
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit(".")))
 
 
-def _stacks(rules: DataFrame) -> DataFrame:
-    """key, stack: for each host with rules, its rules and those of all hosts that
-    enclose it."""
-    own = rules.groupBy("key").agg(F.collect_list(F.struct("key", "path", "rule", "verdict")).alias("own"))
-    labels = F.split("key", r"\.", -1)
-    above = own.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "."), F.lit(".")))).alias("prefix"))
-    enclosing = own.select(F.col("key").alias("prefix"), F.col("own").alias("rules"))
-    return above.join(enclosing, "prefix").groupBy("key").agg(F.flatten(F.collect_list("rules")).alias("stack"))
-
-
 def _cuts(hosts: DataFrame, ranges: int) -> list[str]:
     """Keys that part the hosts into ranges of about equal size, ``ranges`` at
     most. Their exact place affects balance alone."""
@@ -62,7 +53,7 @@ def _cuts(hosts: DataFrame, ranges: int) -> list[str]:
     return sorted(r["first"] for r in dealt.collect())  # one key a range
 
 
-def judge(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page_id", default: str = DEFAULT, ranges: int = RANGES) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page_id", default: str = DEFAULT, ranges: int | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
     ``rules``: host, path, verdict. A rule fits its host and all subdomains if the
@@ -73,8 +64,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page
     not used; other columns are not looked at."""
     host, path = split_url(F.col(url).cast("string"))
     split = pages.select(F.col(key).cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
-    hosts = split.select("key").distinct()
-    cuts = _cuts(hosts, ranges)
+    hosts = written(split.select("key").distinct(), "hosts")
+    cuts = _cuts(hosts, ranges or max(RANGES, -(-hosts.count() // RANGE_HOSTS)))
     bound = F.array(*map(F.lit, cuts)) if cuts else F.expr("cast(array() as array<string>)")
     place = lambda at: F.size(F.filter(bound, lambda c: c <= at))
     rule_host = F.translate(F.col("host").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -82,11 +73,18 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page
         host_key(rule_host).alias("key"), F.coalesce("path", F.lit("")).alias("path"), F.concat(rule_host, F.coalesce("path", F.lit(""))).alias("rule"), F.col("verdict").cast("string").alias("verdict")
     )
     past = F.concat(F.col("key"), F.lit(_PAST))
-    begun = _stacks(clean).select("key", "stack", F.explode(F.sequence(place(F.col("key")), place(past))).alias("range"))
-    events = hosts.select("key", F.lit(None).cast(begun.schema["stack"].dataType).alias("stack"), place(F.col("key")).alias("range"), F.lit(1).alias("is_host")).unionByName(begun.withColumn("is_host", F.lit(0)))
+    own = clean.groupBy("key").agg(F.collect_list(F.struct("key", "path", "rule", "verdict")).alias("rules"))
+    own = written(own.withColumn("depth", F.size(F.split("key", r"\.", -1)) - 1), "rules")
+    depths = sorted(r["depth"] for r in own.select("depth").distinct().collect())  # as many as a host has labels
+    begun = own.select("key", "depth", "rules", F.explode(F.sequence(place(F.col("key")), place(past))).alias("range"))
+    nothing = F.lit(None).cast(own.schema["rules"].dataType)
+    events = hosts.select("key", F.lit(None).cast("int").alias("depth"), nothing.alias("rules"), place(F.col("key")).alias("range"), F.lit(1).alias("is_host")).unionByName(begun.withColumn("is_host", F.lit(0)))
     sweep = Window.partitionBy("range").orderBy("key", "is_host").rowsBetween(Window.unboundedPreceding, 0)
-    swept = events.withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("is_host = 1")
-    live = swept.select("key", F.filter("stack", lambda r: F.col("key").startswith(r["key"])).alias("open")).where(F.size("open") > 0)
+    slots = {f"slot{d}": F.last(F.when(F.col("depth") == d, F.struct("key", "rules")), ignorenulls=True).over(sweep) for d in depths}
+    swept = events.select("key", "is_host", *[c.alias(n) for n, c in slots.items()]).where("is_host = 1")
+    still = [F.when(F.col("key").startswith(F.col(n)["key"]), F.col(n)["rules"]) for n in slots]
+    held = F.flatten(F.array_compact(F.array(*still))) if still else nothing
+    live = written(swept.select("key", held.alias("open")).where(F.size("open") > 0), "open_rules")  # Spark splits a hot host in the join
     judged = split.join(live, "key", "left")
     fits = F.filter("open", lambda r: F.col("path").startswith(r["path"]))
     best = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("n"), F.length(r["key"]).alias("h"), r["verdict"].alias("verdict"), r["rule"].alias("rule"))))
