@@ -5,7 +5,9 @@ together over the whole corpus, and a sentence goes if it is covered by any run
 that also occurs earlier. A document sends each of its distinct runs once, with
 no text; a run of one place only is dropped by counting before anything is
 joined, and the earliest place of the others is a minimum, so a passage that a
-third of all documents share is never gathered.
+third of all documents share is never gathered; the joins that give a run its
+earliest place broadcast it, or meet it in a shuffle whose large partitions Spark
+splits.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_key, utf8, written
+from .common import drop, small, small_batches, table, text_key, utf8, written
 
 SPAN = 3
 #: A sentence of more words is cut and counts as several.
@@ -158,11 +160,14 @@ def dedup_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", span:
     small_batches(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("t")).select("doc_id", text_key(F.col("t"), 2).alias("th"), "t")
     hashed = written(source.mapInArrow(_hashes(span, least_words, extend), "doc_id long, th long, a long, b long"), "runs")
-    again = hashed.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
-    shared = written(hashed.join(again, "a"), "shared_runs")
-    first = shared.groupBy("a", "b").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    later = shared.join(first, ["a", "b"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))))
+    # tables that a join meets are written before it: a hot run can then be split
+    again = written(hashed.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a"), "again")
+    shared = written(hashed.join(small(again), "a"), "shared_runs")
+    drop(hashed, again)
+    first = written(shared.groupBy("a", "b").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"), "first_runs")
+    later = shared.join(small(first), ["a", "b"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))))
     lost = written(later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b", F.col("first.doc_id").alias("first"))).alias("lost")), "lost_runs")
+    drop(shared, first)
     pair = source["doc_id"].eqNullSafe(lost["doc_id"]) & (source["th"] == lost["th"])
     joined = source.join(lost, pair, "left").select(source["doc_id"], "t", "lost")
     return joined.mapInArrow(_cuts(span, least_words, extend), "doc_id long, text string, n_sentences long, n_removed long, source_ids array<long>")

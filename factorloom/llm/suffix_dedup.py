@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, utf8, written
+from .common import drop, small, small_batches, table, utf8, written
 
 LENGTH = 200
 GRAM = 64
@@ -32,6 +32,8 @@ SLICE = 1 << 19
 #: Bytes of a bucket, about, and different segments of a k-gram that are still indexed.
 BUCKET = 1 << 20
 MANY = 2000
+#: Tasks that the buckets are dealt out over, at most.
+MOST_TASKS = 20_000
 BETWEEN, END = 0xFF, 0xFE  # never bytes of UTF-8
 
 _rng = np.random.default_rng(20240229)
@@ -139,23 +141,29 @@ def _select(length: int, k: int):
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """By prefix doubling, from eight bytes on."""
+    """By prefix doubling, from eight bytes on. Suffixes that are already apart from
+    all others keep their places; a rank is the first place of its group."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key |= padded[j : j + n] << np.uint64(56 - 8 * j)
     h = 8
-    rank = np.empty(n, np.int64)
+    rank = np.zeros(n + 1, np.int64)
+    order = np.argsort(key)
+    key, places = key[order], np.arange(n)
+    at = order
     while True:
-        order = np.argsort(key)
-        new = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])]
-        rank[order] = new + 1
-        if new[-1] == n - 1 or h >= 2 * n:
+        new = np.r_[True, key[1:] != key[:-1]]
+        rank[at] = np.maximum.accumulate(np.where(new, places, 0)) + 1
+        tied = ~(new & np.r_[new[1:], True])
+        places, at = places[tied], at[tied]
+        if not len(places) or h >= 2 * n:
             return order
-        beyond = np.zeros(n, np.int64)
-        beyond[: max(0, n - h)] = rank[h:]
-        key = (rank << 32 | beyond).astype(np.uint64)
+        key = (rank[at] << 32 | rank[np.minimum(at + h, n)]).astype(np.uint64)
+        sort = np.argsort(key)
+        key, at = key[sort], at[sort]
+        order[places] = at
         h *= 2
 
 
@@ -295,28 +303,37 @@ def repeats(source: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int
     doc_id, th, marks: the removed ranges of each text that has any."""
     chosen = source.select("doc_id", "th", "t").mapInArrow(_select(length, gram), "doc_id long, th long, gram long, seg long, start long, size int")
     chosen = written(chosen, "segments")
-    again = chosen.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-    chosen = written(chosen.join(again, "gram"), "repeated")
+    # tables that a join meets are written before it: a hot k-gram can then be split
+    again = written(chosen.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram"), "again")
+    every, chosen = chosen, written(chosen.join(small(again), "gram"), "repeated")
+    drop(every, again)
     place = F.struct("doc_id", "th", "start", "size")
     kinds = written(chosen.groupBy("gram", "seg").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place")), "kinds")
     per = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("single"))
-    asked = kinds.join(per.where("kinds > 1 and single > 0"), "gram").select("gram", "seg", "n", "kinds", "place.*")
+    per = written(per.where("kinds > 1 and single > 0"), "grams")
+    asked = kinds.join(small(per), "gram").select("gram", "seg", "n", "kinds", "place.*")
     asked = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "seg", "n", "start", "size")).alias("wanted"), F.sum("size").alias("bytes"))
     asked = written(asked, "asked")
     total = asked.agg(F.sum("bytes")).first()[0] or 0
     pair = (asked["doc_id"].eqNullSafe(source["doc_id"])) & (asked["th"] == source["th"])
     contents = written(source.join(asked, pair).select("t", "wanted").mapInArrow(_cut, "gram long, seg long, n long, content binary"), "contents")
-    crowded = per.where(F.col("kinds") > many).select("gram")
+    crowded = small(written(per.where(F.col("kinds") > many).select("gram"), "crowded"))
     few, hot = contents.join(crowded, "gram", "left_anti"), contents.join(crowded, "gram", "left_semi")
     buckets = max(1, -(-int(total) // BUCKET))
-    indexed = few.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).groupBy("bucket").applyInArrow(_index(length), "gram long, seg long, ranges array<int>")
+    dealt = few.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).repartition(min(buckets, MOST_TASKS), "bucket")
+    indexed = dealt.groupBy("bucket").applyInArrow(_index(length), "gram long, seg long, ranges array<int>")
     windows = hot.dropDuplicates(["gram", "seg"]).mapInArrow(_windows(length), "gram long, seg long, at int, win long")
-    twice = windows.groupBy("gram", "win").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram", "win")
-    counted = windows.join(twice, ["gram", "win"]).groupBy("gram", "seg").agg(F.collect_list("at").alias("at")).select("gram", "seg", _covers(length)("at").alias("ranges"))
+    windows = written(windows, "windows")
+    twice = written(windows.groupBy("gram", "win").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram", "win"), "twice")
+    counted = windows.join(small(twice), ["gram", "win"]).groupBy("gram", "seg").agg(F.collect_list("at").alias("at")).select("gram", "seg", _covers(length)("at").alias("ranges"))
     whole = kinds.where("n > 1").select("gram", "seg", F.array(F.lit(0), F.col("place.size")).alias("ranges"))
     marks = whole.union(indexed).union(counted.join(kinds.where("n = 1").select("gram", "seg"), ["gram", "seg"], "left_semi"))
+    marks = written(marks, "ranges")
+    drop(asked, contents, kinds, per, windows, twice)
     marks = chosen.join(marks, ["gram", "seg"]).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "ranges")).alias("marks"))
-    return written(marks, "marks")
+    found = written(marks, "marks")
+    drop(chosen)
+    return found
 
 
 def _source(docs: DataFrame, text: str, key: str) -> DataFrame:
