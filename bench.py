@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession
 
 from factorloom.functions.formula import parse
-from factorloom.functions.libraries import qlib_alpha158, worldquant_alpha101
+from factorloom.functions.libraries import gtja_alpha191, qlib_alpha158, worldquant_alpha101
 from factorloom.operators.alphas import compute_alphas
 from factorloom.queries import queries
 from factorloom.sources.lineitem_panel import bars
@@ -31,12 +31,14 @@ def main() -> None:
     n = panel.count()
     compute = lambda alphas: compute_alphas(panel, "asset", "time", alphas, validate=False, ordered=False)
     all_queries = queries()
-    ten = [f"alpha{i}" for i in (1, 2, 3, 4, 5, 6, 12, 13, 33, 101)]
+    #: The published subset of 82 takes the factors without groups, capitalisation or conditions.
+    names = [e.output_name() for e in worldquant_alpha101() if not e.group_inputs() and "cap" not in e.collect_inputs()]
     todo = {
         "panel": lambda: bars(spark, sf_dir, "month"),
         "rank_mean": lambda: compute([parse("rank(ts_mean(close, 5) / close)").alias("a")]),
-        "alpha158_first63": lambda: compute(qlib_alpha158()[:63]),
-        "alpha101_ten": lambda: compute(worldquant_alpha101(alphas=ten)),
+        "alpha158": lambda: compute(qlib_alpha158()),
+        "alpha101_without_groups": lambda: compute(worldquant_alpha101(alphas=names)),
+        "alpha191": lambda: compute(gtja_alpha191()),
         "with_labels": lambda: all_queries["with_labels"](spark, sf_dir),
         "evaluate_ic": lambda: all_queries["evaluate_ic"](spark, sf_dir),
     }

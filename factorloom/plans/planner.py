@@ -1,4 +1,4 @@
-"""From a batch of expressions to staged DataFrame projections.
+"""From a batch of expressions to a staged plan, and its two ways to run.
 
 Equal subtrees of the whole batch are one node. Every window operator becomes a
 column at the earliest step at which its arguments exist. Steps alternate between
@@ -7,6 +7,12 @@ operators of a phase share its exchange; operators nested within a phase become
 levels of it, which Spark runs on the same partitioning and order. So a batch
 costs one exchange for each change of partitioning in its longest chain, however
 many factors it has.
+
+Plans of few, cheap operators become Spark windows, which stay in generated code.
+Spark goes through the whole window again at every row, and compiles a stage for
+every level, so plans of more work run phase by phase on Arrow batches instead
+(``phases``), in time that does not grow with the windows' lengths. Results are
+the same up to rounding.
 """
 
 from __future__ import annotations
@@ -19,9 +25,13 @@ from pyspark.sql import functions as F
 from ..functions.columns import ELEMENTWISE, REPEATING, known
 from ..functions.expr import CROSS_SECTION, RECURSIVE, TIME_SERIES, Expr
 from ..functions.windows import Frames, cross_section, time_series
-from .kernels import run_kernels
+from . import phases
 
 ROW = "__row"
+#: Operators whose window Spark lays out as a list at every row, or has none for.
+_LISTED = frozenset("ts_rank ts_rank_raw quantile wma product".split()) | RECURSIVE
+#: Rows that the windows of a plan may go through again at every row.
+WINDOW_ROWS = 64
 _NEEDS_ROW = frozenset("ts_argmin ts_argmax slope rsquare resi decay_linear conditional_beta".split())
 
 
@@ -91,6 +101,18 @@ class Plan:
         self.held.add(e.key)
         self.at[e.key] = phase, level, depth + 1
 
+    def is_light(self) -> bool:
+        """Whether Spark windows are the better way."""
+        rows = 0
+        for e in self.nodes.values():
+            if e.op in _LISTED:
+                return False
+            if e.op in CROSS_SECTION or e.op in ("delay", "delta", "scan_mul"):
+                rows += 4
+            elif e.op in TIME_SERIES:
+                rows += e.params[0]
+        return rows <= WINDOW_ROWS
+
     def exchanges(self) -> int:
         """Changes of partitioning in the longest chain."""
         return len({p for p, _, _ in self.at.values() if p})
@@ -123,10 +145,12 @@ class Lowering:
         return time_series(e.op, args, e.params, self.frames, F.col(ROW))
 
 
-def evaluate(df: DataFrame, symbol: str, time: str, outputs: dict[str, Expr], keep: list[str]) -> DataFrame:
+def evaluate(df: DataFrame, symbol: str, time: str, outputs: dict[str, Expr], keep: list[str], engine: str = "auto") -> DataFrame:
     """``keep`` columns of ``df`` and a column for each output. Value columns of
-    ``df`` must be doubles without NaN."""
+    ``df`` must be doubles without NaN. ``engine``: windows, arrays or auto."""
     plan = Plan(outputs)
+    if engine == "arrays" or engine == "auto" and not plan.is_light():
+        return phases.evaluate(plan, df, symbol, time, keep)
     low = Lowering(plan, symbol, time)
     steps: dict[tuple, list[Expr]] = defaultdict(list)
     for e in plan.nodes.values():
@@ -148,19 +172,17 @@ def evaluate(df: DataFrame, symbol: str, time: str, outputs: dict[str, Expr], ke
         carried.append(ROW)
     for i, step in enumerate(order):
         todo = steps[step]
-        slow = [e for e in todo if e.op in RECURSIVE]
+        if any(e.op in RECURSIVE for e in todo):
+            raise ValueError("recursive operators have no Spark window; use engine='arrays'")
         new = {}
         for e in todo:
             if e.op in ELEMENTWISE:
                 new[low.name(e)] = ELEMENTWISE[e.op](*map(low.column, e.args)).cast("double")
-            elif e.op not in RECURSIVE:
+            else:
                 new[low.name(e)] = low.window(e)
-        stay = [f"__n{k}" for k in sorted(low.ready) if k in needed_after[i] or any(k == a.key for e in slow for a in plan.values(e))]
+        stay = [f"__n{k}" for k in sorted(low.ready) if k in needed_after[i]]
         df = df.select(*[f"`{c}`" for c in carried], *stay, *[c.alias(n) for n, c in new.items()])
-        low.ready |= {e.key for e in todo if e.op not in RECURSIVE}
-        if slow:
-            df = run_kernels(df, symbol, time, [(low.name(e), e.op, [low.column(a) for a in e.args], e.params) for e in slow])
-            low.ready |= {e.key for e in slow}
+        low.ready |= {e.key for e in todo}
     return df.select(*[f"`{c}`" for c in keep], *[known(low.column(e)).alias(n) for n, e in outputs.items()])
 
 

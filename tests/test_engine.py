@@ -12,7 +12,7 @@ from factorloom.functions.formula import parse
 from factorloom.functions.libraries import gtja_alpha191, qlib_alpha158, worldquant_alpha101
 from factorloom.operators.alphas import compute_alphas, with_alphas
 from factorloom.operators.labels import with_labels
-from factorloom.plans.kernels import multi_resi, sma
+from factorloom.plans.arrays import multi_resi, sma
 from factorloom.plans.planner import Plan
 
 
