@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(_least(both), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()  # points downwards: v < u
         small = large.join(_least(large), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.union(_least(large).select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = now, written(small.union(_least(large).select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(before)
         was, seen = seen, _digest(now)
         if seen == was:
             break

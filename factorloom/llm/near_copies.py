@@ -15,10 +15,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_key, utf8, written
+from .common import drop, small_batches, text_key, utf8, written
 from .components import components
 from .simhash import SEED, near_links, print_of
 
@@ -53,9 +53,30 @@ def _long(lists: list[np.ndarray]) -> pa.Array:
 
 
 def _parity(values: np.ndarray) -> np.ndarray:
-    """512 bits: whether an odd number of the set falls on each. Two sets differ
-    in as many shingles as their parities differ in bits, or more."""
-    return np.packbits(np.bincount((values >> np.uint64(20)).astype(np.int64) & 511, minlength=512) & 1, bitorder="little").view("<i8")
+    """Whether an odd number of the set falls on each of 512 bits, or, of large
+    sets, twice as many bits as it has shingles or more. Two sets differ in as
+    many shingles as their parities differ in bits, or more. A parity of twice
+    the bits folds to the smaller one: its halves differ in that."""
+    bits = 1 << max(9, int(2 * len(values) - 1).bit_length())
+    return np.packbits(np.bincount((values >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1, bitorder="little").view("<i8")
+
+
+def _folded(parity: Column, words: Column) -> Column:
+    """The parity in ``words`` longs, where it has them or twice as many."""
+    half = F.zip_with(F.slice(parity, F.lit(1), words), F.slice(parity, words + 1, words), lambda a, b: a.bitwiseXOR(b))
+    return F.when(F.size(parity) > words, half).otherwise(parity)
+
+
+def _folded_fully(parity: Column) -> Column:
+    """The parity in 512 bits."""
+    size = F.size(parity)
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.aggregate(F.sequence(i, size - 1, F.lit(8)), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(parity, j))))
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Bits in which two parities of sets of like size differ."""
+    words = F.least(F.size(a), F.size(b))
+    return F.aggregate(F.zip_with(_folded(a, words), _folded(b, words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
 
 
 def _rows(hot: np.ndarray, count: np.ndarray):
@@ -93,23 +114,24 @@ def _order(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hot[by], count[by]
 
 
+def _size_fits(a: str, b: str):
+    return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
+
+
 def _verified(pairs: DataFrame, source: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs u, v of sets that are similar enough. Sets of n and m shingles may
     differ in (n + m) / 9 of them, so parities tell most of the others apart."""
     side = lambda c: texts.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
-    apart = sum((F.bit_count(F.col("pu")[i].bitwiseXOR(F.col("pv")[i])) for i in range(8)), F.lit(0))
-    pairs = pairs.distinct().join(side("u"), "u").join(side("v"), "v").where(9 * apart <= F.col("nu") + F.col("nv"))
+    pairs = pairs.distinct().join(side("u"), "u").join(side("v"), "v").where(_size_fits("nu", "nv")).where(9 * _apart(F.col("pu"), F.col("pv")) <= F.col("nu") + F.col("nv"))
     pairs = written(pairs.select("u", "v"), "pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(texts.select("sid", "th"), "sid")
     sets = source.select("th", "t").join(wanted, "th").dropDuplicates(["sid"]).select("sid", "t").mapInArrow(_sets, "sid long, s array<long>")
     sets = written(sets, "sets")
     left, right = sets.select(F.col("sid").alias("u"), F.col("s").alias("su")), sets.select(F.col("sid").alias("v"), F.col("s").alias("sv"))
     both = pairs.join(left, "u").join(right, "v")
-    return written(both.where(9 * F.size(F.array_intersect("su", "sv")) >= 4 * (F.size("su") + F.size("sv"))).select("u", "v"), "links")
-
-
-def _size_fits(a: str, b: str):
-    return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
+    links = written(both.where(9 * F.size(F.array_intersect("su", "sv")) >= 4 * (F.size("su") + F.size("sv"))).select("u", "v"), "links")
+    drop(pairs, sets)
+    return links
 
 
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = 3) -> DataFrame:
@@ -119,28 +141,35 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bi
     small_batches(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("t")).select("doc_id", text_key(F.col("t"), 6).alias("th"), "t")
     kinds = "doc_id long, th long, sid long, n long, fp long, parity array<long>, first array<long>"
-    rows = written(source.mapInArrow(_rows(*_order(source)), kinds), "shingled")
-    sets = rows.groupBy("sid").agg(F.min("th").alias("th"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("parity").alias("parity"))
+    every = written(source.mapInArrow(_rows(*_order(source)), kinds), "shingled")
+    low = F.min("th").alias("th")
+    sets = every.groupBy("sid").agg(low, F.min("n").alias("n"), F.min("fp").alias("fp")).join(every.select("sid", "th", "parity", "first"), ["sid", "th"]).dropDuplicates(["sid"])
     sets = written(sets, "distinct_sets")
+    rows = written(every.select("doc_id", "th", "sid"), "grouped_rows")
+    drop(every)
     texts = sets.select("sid", "th", "n", "parity")
-    each = rows.where("n > 1").join(texts.select("sid", "th"), ["sid", "th"]).dropDuplicates(["sid"]).select("sid", "n", F.explode("first").alias("h"))
-    again = rows.where("n > 1").select("sid", F.explode("first").alias("h")).groupBy("h").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y").select("h")
+    each = sets.where("n > 1").select("sid", "n", F.explode("first").alias("h"))
+    again = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     shared = written(each.join(again, "h"), "shared_shingles")
     least = shared.groupBy("h").agg(F.min(F.struct("n", "sid")).alias("low"))
     stars = shared.join(least, "h").where("sid <> low.sid").where(_size_fits("n", "low.n")).select(F.col("low.sid").alias("u"), F.col("sid").alias("v"))
     owner = written(sets.groupBy("fp").agg(F.min("sid").alias("sid")), "distinct_fp")
-    alike = sets.join(owner.withColumnRenamed("sid", "u"), "fp").where("sid <> u").select("u", F.col("sid").alias("v"))
+    alike = sets.select("sid", "fp").join(owner.withColumnRenamed("sid", "u"), "fp").where("sid <> u").select("u", F.col("sid").alias("v"))
     own = lambda c: owner.select(F.col("fp").alias(f"f{c}"), F.col("sid").alias(c))
     walked = near_links(owner.select("fp"), max_bits).select(F.col("u").alias("fu"), F.col("v").alias("fv"))
     walked = walked.join(own("u"), "fu").join(own("v"), "fv").select("u", "v")
     links = _verified(stars.union(alike).union(walked).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), source, texts)
+    drop(owner)
     roots = written(components(links).withColumnRenamed("node", "sid"), "roots")
     rooted = shared.join(roots, "sid", "left").select("h", "sid", "n", F.coalesce("root", "sid").alias("root"))
     mixed = rooted.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-    rest = written(rooted.join(mixed, "h"), "rest")
-    a, b = (rest.select("h", *(F.col(c).alias(c + side) for c in ("sid", "n", "root"))) for side in "ab")
-    left = a.join(b, "h").where("sida < sidb and roota <> rootb").where(_size_fits("na", "nb")).select(F.col("sida").alias("u"), F.col("sidb").alias("v"))
+    rest = written(rooted.join(mixed, "h").join(sets.select("sid", _folded_fully(F.col("parity")).alias("p")), "sid"), "rest")
+    drop(shared)
+    a, b = (rest.select("h", *(F.col(c).alias(c + side) for c in ("sid", "n", "root", "p"))) for side in "ab")
+    apart = sum((F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(8)), F.lit(0))
+    left = a.join(b, "h").where("sida < sidb and roota <> rootb").where(_size_fits("na", "nb")).where(9 * apart <= F.col("na") + F.col("nb")).select(F.col("sida").alias("u"), F.col("sidb").alias("v"))
     links = links.union(_verified(left, source, texts))
+    drop(rest, sets)
     roots = written(components(links).withColumnRenamed("node", "sid"), "roots")
     return rows.join(roots, "sid", "left").select("doc_id", "th", F.coalesce("root", "sid").alias("root"))
 
