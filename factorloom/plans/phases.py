@@ -3,7 +3,9 @@
 All operators of a phase run in one pass over rows that are dealt by symbol, or by
 time, and sorted: one exchange, one sort and one Python node for a phase, however
 many operators it has. A pass holds whole symbols (or days) of some ten thousand
-rows at once; columns that it does not read go through as they are.
+rows at once; columns that it does not read go through as they are. What a phase
+makes for later ones travels as one column of packed doubles, since hundreds of
+columns would cost the exchange and its generated code more than the operators.
 """
 
 from __future__ import annotations
@@ -21,13 +23,17 @@ from . import arrays
 
 #: Rows of a pass, at least, unless there are no more; whole symbols or days.
 ROWS = 1 << 15
+PACK = "__pack"
 
 
 class Pass:
-    """What one phase computes: ``wanted`` expressions by column name, from columns."""
+    """What one phase computes: ``wanted`` expressions by name, from columns and
+    from the packed names of the phase before. ``out``: the names to pass on;
+    packed, or columns in the last phase."""
 
-    def __init__(self, by: str, wanted: dict[str, Expr], ready: dict[int, str], values, groups: list[str], kept: list[str]) -> None:
+    def __init__(self, by: str, wanted: dict[str, Expr], ready: dict[int, str], values, groups: list[str], kept: list[str], packed: list[str], out: list[str], last: bool) -> None:
         self.by, self.wanted, self.ready, self.values, self.groups, self.kept = by, wanted, ready, values, groups, kept
+        self.packed, self.out, self.last = {name: i for i, name in enumerate(packed)}, out, last
         self.steps: list[Expr] = []
         seen: set[int] = set()
         stack = [(e, False) for e in reversed(wanted.values())]
@@ -44,20 +50,24 @@ class Pass:
         self.uses = Counter(a.key for e in self.steps for a in values(e))
         self.uses.update(e.key for e in wanted.values())
 
+    def names(self) -> list[str]:
+        return self.out if self.last else [PACK]
+
     def __call__(self, table: pa.Table) -> list[pa.Array]:
-        """The wanted columns of a table of whole symbols or days in order."""
+        """What is passed on of a table of whole symbols or days in order."""
         n = table.num_rows
         starts = _starts(table.column(self.by))
         stack = arrays.Stack(n, starts)
         day = np.repeat(np.arange(len(starts)), stack.sizes)
         groups = {g: table.column(g).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False).astype(np.int64) for g in self.groups}
         columns: dict[str, np.ndarray] = {}
+        matrix = _unpacked(table.column(PACK), len(self.packed)) if self.packed else None
         made: dict[int, np.ndarray] = {}
         left = Counter(self.uses)
 
         def read(name: str) -> np.ndarray:
             if name not in columns:
-                columns[name] = table.column(name).to_numpy().astype(float, copy=False)
+                columns[name] = np.ascontiguousarray(matrix[:, self.packed[name]]) if name in self.packed else table.column(name).to_numpy().astype(float, copy=False)
             return columns[name]
 
         def value(e: Expr):
@@ -84,8 +94,24 @@ class Pass:
                     made[e.key] = arrays.cross_section(e.op, args[0], e.params, day, groups[e.args[1].params[0]] if len(e.args) > 1 else None)
                 else:
                     made[e.key] = arrays.time_series(e.op, args, e.params, stack)
-            out = [np.array(np.broadcast_to(np.asarray(value(e), float), n)) for e in self.wanted.values()]
-        return [pa.array(x, pa.float64(), mask=np.isnan(x)) for x in out]
+            new = {name: np.broadcast_to(np.asarray(value(e), float), n) for name, e in self.wanted.items()}
+        out = [new[name] if name in new else read(name) for name in self.out]
+        return [pa.array(np.array(x), pa.float64(), mask=np.isnan(x)) for x in out] if self.last else [_packed(out, n)]
+
+
+def _packed(columns: list[np.ndarray], n: int) -> pa.Array:
+    """Doubles side by side, as one binary value a row."""
+    data = np.stack(columns, axis=1) if columns else np.empty((n, 0))
+    ends = np.arange(n + 1, dtype=np.int32) * np.int32(8 * len(columns))
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _unpacked(column: pa.ChunkedArray, k: int) -> np.ndarray:
+    whole = column.combine_chunks()
+    if not len(whole):
+        return np.empty((0, k))
+    ends = np.frombuffer(whole.buffers()[1], np.int32)
+    return np.frombuffer(whole.buffers()[2], np.float64, k * len(whole), int(ends[whole.offset])).reshape(-1, k)
 
 
 def _starts(column: pa.ChunkedArray) -> np.ndarray:
@@ -104,7 +130,7 @@ def _runner(todo: Pass):
 
         def out(table: pa.Table):
             new = todo(table)
-            whole = pa.Table.from_arrays([*(table.column(c) for c in todo.kept), *map(pa.chunked_array, ([x] for x in new))], names=[*todo.kept, *todo.wanted])
+            whole = pa.Table.from_arrays([*(table.column(c) for c in todo.kept), *map(pa.chunked_array, ([x] for x in new))], names=[*todo.kept, *todo.names()])
             yield from whole.combine_chunks().to_batches(max_chunksize=ROWS)
 
         for batch in batches:
@@ -132,7 +158,7 @@ def _runner(todo: Pass):
 
 def run_pass(df: DataFrame, todo: Pass, order: list[str]) -> DataFrame:
     """``df`` by ``todo.by``, sorted by ``order``, with the wanted columns."""
-    schema = T.StructType([df.schema[c] for c in todo.kept] + [T.StructField(c, T.DoubleType()) for c in todo.wanted])
+    schema = T.StructType([df.schema[c] for c in todo.kept] + [T.StructField(c, T.DoubleType() if todo.last else T.BinaryType()) for c in todo.names()])
     dealt = df.repartition(F.col(f"`{todo.by}`")).sortWithinPartitions(*[F.col(f"`{c}`") for c in order])
     return dealt.mapInArrow(_runner(todo), schema)
 
@@ -147,19 +173,24 @@ def evaluate(plan, df: DataFrame, symbol: str, time: str, keep: list[str]) -> Da
     ready: dict[int, str] = {}
     outputs = {n: e for n, e in plan.outputs.items()}
     place = {n: f"__o{i}" for i, n in enumerate(outputs)}
-    carried: dict[str, str] = {}  # output by the column that holds it already
-    for p in sorted({k for k in phase.values() if k} | {last or 1}):
+    carried: dict[str, str] = {}  # outputs that are made, and their names
+    packed: list[str] = []
+    todo_phases = sorted({k for k in phase.values() if k} | {last or 1})
+    for p in todo_phases:
         done = {n: e for n, e in outputs.items() if n not in carried and (phase[e.key] <= p)}
         later = [e for e in plan.nodes.values() if phase[e.key] > p]
         frontier = {a.key: a for e in later for a in values(e) if 0 < phase[a.key] <= p and a.op not in ("col", "lit")}
         wanted = {place[n]: e for n, e in done.items()} | {f"__n{k}": a for k, a in sorted(frontier.items()) if k not in ready}
         needed_later = {c for e in later for a in values(e) for c in _columns(plan, a, phase)} | {g for e in later if (g := group_of(e))}
         still = [name for k, name in ready.items() if k in frontier]
-        kept = list(dict.fromkeys([*keep, symbol, time, *sorted(needed_later & columns | {g for e in later if (g := group_of(e))}), *carried.values(), *still]))
+        kept = list(dict.fromkeys([*keep, symbol, time, *sorted(needed_later & columns | {g for e in later if (g := group_of(e))})]))
+        out = [*carried.values(), *still, *wanted]
         odd = p % 2 == 1
         here = [e for e in plan.nodes.values() if phase[e.key] == p]
-        todo = Pass(symbol if odd else time, wanted, dict(ready), values, sorted({g for e in here if (g := group_of(e))}), kept)
-        df = run_pass(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, *_inputs(todo), *todo.groups])]), todo, [symbol, time] if odd else [time, symbol])
+        todo = Pass(symbol if odd else time, wanted, dict(ready), values, sorted({g for e in here if (g := group_of(e))}), kept, packed, out, p == todo_phases[-1])
+        read = dict.fromkeys([*kept, *_inputs(todo), *todo.groups, *([PACK] if packed else [])])
+        df = run_pass(df.select(*[F.col(f"`{c}`") for c in read]), todo, [symbol, time] if odd else [time, symbol])
+        packed = out
         ready = {k: n for k, n in ready.items() if k in frontier} | {k: f"__n{k}" for k in frontier}
         carried |= {n: place[n] for n in done}
     return df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(carried[n]).alias(n) for n in outputs])
@@ -182,8 +213,6 @@ def _inputs(todo: Pass) -> list[str]:
     found = {}
     for e in [*todo.wanted.values(), *todo.steps]:
         for a in (e, *todo.values(e)):
-            if a.key in todo.ready:
-                found[todo.ready[a.key]] = None
-            elif a.op == "col":
+            if a.key not in todo.ready and a.op == "col":
                 found[a.params[0]] = None
     return list(found)
