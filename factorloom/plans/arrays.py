@@ -22,6 +22,12 @@ class Stack:
         self.n, self.starts = n, starts
         self.sizes = np.diff(np.r_[starts, n])
         self.age = np.arange(n) - np.repeat(starts, self.sizes)
+        self._blocks: dict[int, Blocks] = {}
+
+    def blocks(self, d: int) -> Blocks:
+        if d not in self._blocks:
+            self._blocks[d] = Blocks(self, d)
+        return self._blocks[d]
 
     def lag(self, x: np.ndarray, d: int) -> np.ndarray:
         if d == 0:
@@ -39,39 +45,58 @@ class Stack:
         return ok
 
 
-def _blocks(x: np.ndarray, d: int) -> np.ndarray:
-    """d x blocks: the rows of a block below each other; the last is filled up."""
-    m = -(-len(x) // d)
-    out = np.zeros(m * d)
-    out[: len(x)] = x
-    return np.ascontiguousarray(out.reshape(m, d).T)
-
-
-def _windows(ends: np.ndarray, whole: np.ndarray, joined: np.ndarray, n: int, d: int) -> np.ndarray:
-    """Values by window start, as (offset, block), put at the last row of each window."""
-    at = np.full((d, ends), NAN)
-    at[0] = whole
-    at[1:, :-1] = joined
-    out = np.full(n, NAN)
-    if n >= d:
-        out[d - 1 :] = at.T.ravel()[: n - d + 1]
-    return out
+class Blocks:
+    """The rows of each symbol in blocks of d, counted from the symbol's first row,
+    so that its values do not depend on what it is stacked with. Symbols of fewer
+    rows have no window and are left out."""
+
+    def __init__(self, stack: Stack, d: int) -> None:
+        self.n, self.d = stack.n, d
+        long = stack.sizes >= d
+        self.rows = np.flatnonzero(np.repeat(long, stack.sizes))
+        sizes = stack.sizes[long]
+        padded = -(-sizes // d) * d
+        self.places = np.repeat(np.cumsum(padded) - padded, sizes) + stack.age[self.rows]
+        self.count = int(padded.sum()) // d
+
+    def lay(self, x: np.ndarray) -> np.ndarray:
+        """d x blocks: the rows of a block below each other; the last are filled up."""
+        out = np.zeros(self.count * self.d)
+        out[self.places] = x[self.rows]
+        return np.ascontiguousarray(out.reshape(self.count, self.d).T)
+
+    def windows(self, whole: np.ndarray, joined: np.ndarray) -> np.ndarray:
+        """Values by window start, as (offset, block), put at the last row of each."""
+        at = np.full((self.d, self.count), NAN)
+        at[0] = whole
+        at[1:, :-1] = joined
+        flat = at.T.ravel()
+        out = np.full(self.n, NAN)
+        start = self.places - (self.d - 1)
+        out[self.rows] = np.where(start >= 0, flat[np.maximum(start, 0)], NAN)
+        return out
 
 
-def fold(x: np.ndarray, d: int, combine: np.ufunc) -> np.ndarray:
-    """``combine`` over the last d rows, whoever they belong to."""
-    b = _blocks(x, d)
+def fold(x: np.ndarray, d: int, combine: np.ufunc, stack: Stack) -> np.ndarray:
+    """``combine`` over the last d rows; only full windows mean anything."""
+    blocks = stack.blocks(d)
+    if not blocks.count:
+        return np.full(stack.n, NAN)
+    b = blocks.lay(x)
     up = combine.accumulate(b, axis=0)
     down = combine.accumulate(b[::-1], axis=0)[::-1]
-    return _windows(b.shape[1], up[-1], combine(down[1:, :-1], up[:-1, 1:]), len(x), d)
+    return blocks.windows(up[-1], combine(down[1:, :-1], up[:-1, 1:]))
 
 
-def moments(x: np.ndarray, y: np.ndarray, use: np.ndarray, d: int) -> tuple[np.ndarray, ...]:
+def moments(x: np.ndarray, y: np.ndarray, use: np.ndarray, d: int, stack: Stack) -> tuple[np.ndarray, ...]:
     """Of the rows with ``use`` among the last d: their number, the means of x and y,
     and the sums of squares and products of deviations xx, yy, xy. Rows are added
     one by one within a block, and the parts of two blocks are joined."""
-    w = _blocks(use, d)
-    a, b = _blocks(np.where(use, x, 0.0), d), _blocks(np.where(use, y, 0.0), d)
+    blocks = stack.blocks(d)
+    if not blocks.count:
+        return tuple(np.full(stack.n, NAN) for _ in range(6))
+    w = blocks.lay(use)
+    a, b = blocks.lay(np.where(use, x, 0.0)), blocks.lay(np.where(use, y, 0.0))
 
     def sums(order) -> np.ndarray:
         out = np.empty((6, *w.shape))
@@ -98,7 +123,7 @@ def moments(x: np.ndarray, y: np.ndarray, use: np.ndarray, d: int) -> tuple[np.n
     share = right[0] / some
     both = left[0] * share
     joined = (n, left[1] + dx * share, left[2] + dy * share, left[3] + right[3] + dx * dx * both, left[4] + right[4] + dy * dy * both, left[5] + right[5] + dx * dy * both)
-    return tuple(_windows(w.shape[1], up[i, -1], joined[i], len(x), d) for i in range(6))
+    return tuple(blocks.windows(up[i, -1], joined[i]) for i in range(6))
 
 
 def _weighted(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -219,14 +244,14 @@ def time_series(op: str, args: list[np.ndarray], params: tuple, stack: Stack) ->
         return np.full(n, NAN)
     if op == "conditional_beta":
         y, x, c = args
-        k, _, _, xx, _, xy = moments(x, y, (c == 1) & np.isfinite(x) & np.isfinite(y), d)
+        k, _, _, xx, _, xy = moments(x, y, (c == 1) & np.isfinite(x) & np.isfinite(y), d, stack)
         return np.where((stack.age >= d - 1) & (k >= 2) & (xx > 0), xy / np.where(xx > 0, xx, 1.0), NAN)
     if op in ("correlation", "covariance", "rolling_beta"):
         y = args[1]
         if d == 1:
             return np.full(n, NAN)
         full = stack.full(np.where(np.isnan(x) | np.isnan(y), NAN, 0.0), d)
-        _, _, _, xx, yy, xy = moments(x, y, ~(np.isnan(x) | np.isnan(y)), d)
+        _, _, _, xx, yy, xy = moments(x, y, ~(np.isnan(x) | np.isnan(y)), d, stack)
         if op == "covariance":
             return np.where(full, xy / (d - 1), NAN)
         if op == "correlation":
@@ -238,18 +263,18 @@ def time_series(op: str, args: list[np.ndarray], params: tuple, stack: Stack) ->
     middle = np.arange(d) - (d - 1) / 2
 
     def spread() -> np.ndarray:
-        return moments(x, x, ~np.isnan(x), d)[3]
+        return moments(x, x, ~np.isnan(x), d, stack)[3]
 
     if op == "ts_sum":
-        value = fold(x, d, np.add)
+        value = fold(x, d, np.add, stack)
     elif op == "ts_mean":
-        value = fold(x, d, np.add) / d
+        value = fold(x, d, np.add, stack) / d
     elif op == "product":
-        value = fold(x, d, np.multiply)
+        value = fold(x, d, np.multiply, stack)
     elif op == "ts_min":
-        value = fold(x, d, np.minimum)
+        value = fold(x, d, np.minimum, stack)
     elif op == "ts_max":
-        value = fold(x, d, np.maximum)
+        value = fold(x, d, np.maximum, stack)
     elif op == "ts_argmin":
         value = _laid_out(x, d, lambda w: w.argmin(axis=1))
     elif op == "ts_argmax":
@@ -273,7 +298,7 @@ def time_series(op: str, args: list[np.ndarray], params: tuple, stack: Stack) ->
         if op == "slope":
             value = slope
         elif op == "resi":
-            value = x - fold(x, d, np.add) / d - slope * ((d - 1) / 2)
+            value = x - fold(x, d, np.add, stack) / d - slope * ((d - 1) / 2)
         else:
             all_ = spread()
             value = np.where(all_ > 0, slope * slope * square / np.where(all_ > 0, all_, 1.0), NAN)

@@ -59,3 +59,9 @@ panel as (select bar.*, n_regionkey as sector, s_nationkey as industry, (s_natio
     volume > 40 as tradable, row_number() over (partition by asset order by time) as i
     from bar join supplier on s_suppkey = asset join nation on n_nationkey = s_nationkey)
 """
+#: The columns of the market besides, as ``wide``; behind ``SQL``.
+WIDE_SQL = """,
+idx as (select time, round(sum(open::decimal(18,4))::double / count(*), 4) as index_open, round(sum(close::decimal(18,4))::double / count(*), 4) as index_close from panel group by time),
+wide as (select panel.*, round(close * (asset % 5 + 1), 4) as cap, index_open, index_close, round(index_close / index_open - 1, 6) as mkt, round(sin(index_close), 6) as smb, round(cos(index_open * 3), 6) as hml
+    from panel join idx using (time))
+"""
