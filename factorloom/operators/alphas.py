@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.expr import Expr
 from ..plans.planner import evaluate
@@ -33,24 +34,31 @@ def _values(alphas: list[Expr]) -> list[str]:
     return sorted(set().union(*(e.value_inputs() for e in alphas))) if alphas else []
 
 
-def compute_alphas(df: DataFrame, symbol_col: str, time_col: str, alphas: list[Expr], output_path: str | None = None, validate: bool = True, ordered: bool = True):
-    """Panel of time, symbol and the alphas, sorted by symbol and time; with
-    ``output_path`` it is written as Parquet and a summary returned. ``validate``
-    checks the keys, ``ordered=False`` spares the sort."""
+def compute_alphas(df: DataFrame, symbol_col: str, time_col: str, alphas: list[Expr], output_path: str | None = None, validate: bool = True, ordered: bool = True, time_major: bool = False):
+    """Panel of time, symbol and the alphas, sorted by symbol and time, or by time
+    and symbol with ``time_major``; with ``output_path`` it is written as Parquet
+    and a summary returned: the path, the files with rows (one for a small panel)
+    and the rows. ``validate`` checks the keys, ``ordered=False`` spares the sort."""
     outputs = _checked(df, symbol_col, time_col, alphas, [symbol_col, time_col], validate)
     used = [c for c in _values(alphas) if c not in (symbol_col, time_col)]
     groups = sorted(set().union(*(e.group_inputs() for e in alphas)) - set(used)) if alphas else []
     source = clean(df.select(*dict.fromkeys([time_col, symbol_col, *used, *groups])), used)
     out = evaluate(source, symbol_col, time_col, outputs, [time_col, symbol_col])
+    order = [time_col, symbol_col] if time_major else [symbol_col, time_col]
     if output_path is None:
-        return out.orderBy(symbol_col, time_col) if ordered else out
-    out.sortWithinPartitions(symbol_col, time_col).write.mode("overwrite").parquet(output_path)
-    return {"output_path": output_path, "n_observations": 1, "n_rows": df.sparkSession.read.parquet(output_path).count()}
+        return out.orderBy(*order) if ordered else out
+    out.sortWithinPartitions(*order).write.mode("overwrite").parquet(output_path)
+    batches, rows = df.sparkSession.read.parquet(output_path).agg(F.countDistinct("_metadata.file_path"), F.count(F.lit(1))).first()
+    return {"output_path": output_path, "n_observations": batches, "n_rows": rows}
 
 
-def with_alphas(df: DataFrame, symbol_col: str, time_col: str, alphas: list[Expr], validate: bool = True) -> DataFrame:
-    """All columns of ``df`` and the alphas. Spark frames have no row order; sort
-    by a column of your own to get one back."""
+def with_alphas(df: DataFrame, symbol_col: str, time_col: str, alphas: list[Expr], validate: bool = True, order_col: str | None = None) -> DataFrame:
+    """All columns of ``df`` and the alphas. Spark frames have no row order;
+    ``order_col`` names a column of ``df`` that numbers its rows, by which the result
+    is sorted."""
     outputs = _checked(df, symbol_col, time_col, alphas, df.columns, validate)
     used = [c for c in _values(alphas) if c not in (symbol_col, time_col)]
-    return evaluate(clean(df, used), symbol_col, time_col, outputs, df.columns)
+    if order_col is not None:
+        field(df, order_col)
+    out = evaluate(clean(df, used), symbol_col, time_col, outputs, df.columns)
+    return out if order_col is None else out.orderBy(order_col)

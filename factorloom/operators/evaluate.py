@@ -14,12 +14,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import divide, known, pearson
+from ..plans import arrays, phases
 from ..sources import panel as P
+from ..sources.scratch import written
 from .labels import SLOT, day_index
 
 LAGS = (1, 5, 10, 20)
@@ -94,6 +97,28 @@ def average_rank(x: Column, keys: list[str]) -> Column:
     return (F.rank().over(up) + F.count(x).over(up.rangeBetween(Window.unboundedPreceding, 0))) / 2.0
 
 
+def global_cuts(values: DataFrame, quantiles: int) -> DataFrame:
+    """``values``: factor, x. Returns factor, cuts (the interpolated quantiles k / q),
+    least, most. Values are counted, dealt by range and numbered by running sums of
+    the counts, so no factor's values meet in one task."""
+    counted = values.groupBy("factor", "x").agg(F.count(F.lit(1)).alias("c"))
+    ranged = written(counted.repartitionByRange("factor", "x").withColumn("part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("factor", "part").agg(F.sum("c").alias("c"))
+    before = Window.partitionBy("factor").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("factor", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"), F.sum("c").over(Window.partitionBy("factor")).alias("n"))  # a row a part
+    upto = F.sum("c").over(Window.partitionBy("factor", "part").orderBy("x"))
+    placed = ranged.withColumn("upto", upto).join(sums, ["factor", "part"]).select("factor", "x", "n", (F.col("base") + F.col("upto") - F.col("c")).alias("lo"), (F.col("base") + F.col("upto")).alias("hi"))
+    wanted = F.transform(F.sequence(F.lit(1), F.lit(quantiles - 1)), lambda k: F.struct(k.alias("k"), (k / F.lit(float(quantiles)) * (F.col("n") - 1)).alias("at")))
+    holds = lambda at: (at >= F.col("lo")) & (at < F.col("hi"))
+    met = placed.select("factor", "x", "n", "lo", "hi", F.explode(F.filter(wanted, lambda w: holds(F.floor(w["at"])) | holds(F.ceil(w["at"])))).alias("w"))
+    side = lambda f: F.max(F.when(holds(f(F.col("w.at"))), F.col("x")))
+    ends = met.groupBy("factor", "w.k", "w.at").agg(side(F.floor).alias("a"), side(F.ceil).alias("b"))
+    part = F.col("at") - F.floor("at")
+    cut = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("b"))
+    cuts = ends.groupBy("factor").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", cut.alias("cut")))), lambda c: c["cut"]).alias("cuts"))
+    return cuts.join(ranged.groupBy("factor").agg(F.min("x").alias("least"), F.max("x").alias("most")), "factor")
+
+
 class _Base:
     """What all tables are made from."""
 
@@ -109,7 +134,8 @@ class _Base:
         if demean != "none":
             over = Window.partitionBy(time) if demean == "universe" else Window.partitionBy(time, group)
             ys = {k: y - F.coalesce(F.avg(F.when(F.col("__live"), y)).over(over), F.lit(0.0)) for k, y in ys.items()}
-        self.rows = rows.select(F.col(f"`{symbol}`").alias("s"), F.col(f"`{time}`").alias("date"), SLOT, "__live", *[F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(factors)], *[y.alias(k) for k, y in ys.items()])
+        rows = rows.select(F.col(f"`{symbol}`").alias("s"), F.col(f"`{time}`").alias("date"), SLOT, "__live", *[F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(factors)], *[y.alias(k) for k, y in ys.items()])
+        self.rows = written(rows, "rows")
         self.days = days.select(F.col(f"`{time}`").alias("date"), SLOT)
         self.ycols = [f"__y{h}" for h in self.horizons]
         keys = ["date", SLOT, "factor"]
@@ -118,15 +144,14 @@ class _Base:
         day = Window.partitionBy(*keys)
         self.cuts = None
         if binning == "global":
-            points = [k / quantiles for k in range(1, quantiles)]
-            self.cuts = valid.groupBy("factor").agg(F.percentile("x", F.array(*map(F.lit, points))).alias("cuts"), F.min("x").alias("least"), F.max("x").alias("most"))
+            self.cuts = written(global_cuts(valid.select("factor", "x"), quantiles), "cuts")
         valid = valid.withColumn("m", F.count(F.lit(1)).over(day)).where(F.col("m") >= max(gate, 1))
         valid = valid.withColumn("fullrank", average_rank(F.col("x"), keys))
         if self.cuts is None:
             valid = valid.withColumn("pos", F.row_number().over(day.orderBy("x", "s")) - 1).withColumn("bucket", F.expr(f"cast((pos * {quantiles}L) div m as int)")).drop("pos")
         else:
             valid = valid.join(F.broadcast(self.cuts), "factor").withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("x"))))  # a row a factor
-        self.valid = valid
+        self.valid = written(valid, "valid")  # all tables read it
 
     def pairs(self) -> DataFrame:
         """Long in horizon too; rows without a label left out."""
@@ -323,7 +348,6 @@ def evaluate(df: DataFrame, symbol_col: str, time_col: str, factor_cols: list[st
         P.require_boolean(df, tradable_col)
     if validate:
         P.check_keys(df, symbol_col, time_col, [group_col] if demean == "group" else [])
-    n_rows = df.count()
     if factor_source:
         source = P.read_factors(spark, factor_source, symbol_col, time_col, factor_cols)
         P.check_same_keys(df, source, symbol_col, time_col)
@@ -331,6 +355,7 @@ def evaluate(df: DataFrame, symbol_col: str, time_col: str, factor_cols: list[st
     for name in factor_cols:
         P.require_double(df, name)
     b = _Base(df, symbol_col, time_col, factor_cols, labels, quantiles, binning, group_col if demean == "group" else None, tradable_col, demean, min_cs_count)
+    n_rows = b.rows.count()
     made: dict[str, DataFrame] = {}
     coverage = _coverage(b)
     ic = _ic(b)
@@ -372,6 +397,35 @@ def evaluate(df: DataFrame, symbol_col: str, time_col: str, factor_cols: list[st
     return EvalResult(made, meta, output_dir, spark)
 
 
+def _day_correlations(k: int, gate: int):
+    """Sums over the days of a task of the correlations of ranks, and their number,
+    for each pair of factors: products of the matrices of a day's ranks."""
+
+    def run(batches):
+        total, days = np.zeros((k, k)), np.zeros((k, k), np.int64)
+        for table in phases.whole_runs(batches, "t"):
+            stack = arrays.Stack(table.num_rows, phases.starts(table.column("t")))
+            day = np.repeat(np.arange(len(stack.starts)), stack.sizes)
+            ranked = np.stack([arrays.ranks(table.column(f"f{i}").to_numpy().astype(float), day, share=False) for i in range(k)], axis=1)
+            for at, size in zip(stack.starts, stack.sizes):
+                r = ranked[at : at + size]
+                live = ~np.isnan(r)
+                live &= live.sum(axis=0) >= gate
+                m, r = live.astype(float), np.where(live, r, 0.0)
+                n, s, q = m.T @ m, r.T @ m, (r * r).T @ m  # ranks are halves: sums are exact
+                with np.errstate(all="ignore"):
+                    vx, vy, xy = q * n - s * s, q.T * n - s.T * s.T, (r.T @ r) * n - s * s.T
+                    c = xy / np.sqrt(vx * vy)
+                np.fill_diagonal(c, 1.0)
+                known = np.where(np.eye(k, dtype=bool), np.diag(n) > 0, (n >= gate) & (vx > 0) & (vy > 0))
+                total += np.where(known, c, 0.0)
+                days += known
+        i, j = np.nonzero(days)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j]), pa.array(days[i, j])], names=["i", "j", "total", "days"])
+
+    return run
+
+
 def factor_correlation(df: DataFrame, symbol_col: str, time_col: str, factor_cols: list[str], tradable_col: str | None = None, min_cs_count: int = 30, validate: bool = True) -> DataFrame:
     """Mean daily correlation of the factors' ranks: a row and a column for each."""
     if not factor_cols:
@@ -386,15 +440,10 @@ def factor_correlation(df: DataFrame, symbol_col: str, time_col: str, factor_col
     rows = P.clean(df.select(*dict.fromkeys([symbol_col, time_col, *factor_cols, *([tradable_col] if tradable_col else [])])), list(factor_cols))
     if tradable_col:
         rows = rows.where(F.coalesce(F.col(f"`{tradable_col}`"), F.lit(False)))
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{f}`").alias("x")) for i, f in enumerate(factor_cols)]))
-    long = rows.select(F.col(f"`{symbol_col}`").alias("s"), F.col(f"`{time_col}`").alias("t"), each.alias("e")).select("s", "t", "e.*").where("x is not null")
-    day = ["t", "i"]
-    ranked = long.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(*day))).where(F.col("m") >= gate).withColumn("r", average_rank(F.col("x"), day))
-    other = ranked.select("s", "t", F.col("i").alias("j"), F.col("r").alias("r2"))
-    n = F.count(F.lit(1))
-    daily = ranked.join(other, ["s", "t"]).where("i < j").groupBy("t", "i", "j").agg(n.alias("n"), pearson(n, F.col("r"), F.col("r2"), lambda c: c).alias("c")).where(F.col("n") >= gate)
-    mean = daily.groupBy("i", "j").agg(F.avg("c").alias("c"))
-    mean = mean.union(mean.select("j", "i", "c")).union(ranked.select("i", F.col("i").alias("j")).distinct().withColumn("c", F.lit(1.0)))
+    # the columns by number: their names are free, and doubles of one kind go to the workers
+    rows = rows.select(F.col(f"`{time_col}`").alias("t"), *[F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(factor_cols)])
+    sums = rows.repartition("t").sortWithinPartitions("t").mapInArrow(_day_correlations(len(factor_cols), gate), "i int, j int, total double, days long")
+    mean = sums.groupBy("i", "j").agg((F.sum("total") / F.nullif(F.sum("days"), F.lit(0).cast("long"))).alias("c"))
     wide = mean.groupBy("i").agg(*[F.max(F.when(F.col("j") == j, F.col("c"))).alias(f) for j, f in enumerate(factor_cols)])
     names = df.sparkSession.createDataFrame(list(enumerate(factor_cols)), "i int, factor string")
     return names.join(wide, "i", "left").orderBy("i").select("factor", *[f"`{f}`" for f in factor_cols])

@@ -312,8 +312,8 @@ def time_series(op: str, args: list[np.ndarray], params: tuple, stack: Stack) ->
     return np.where(full, value, NAN)
 
 
-def _ranks(x: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Average rank over the number of values, in each group."""
+def ranks(x: np.ndarray, group: np.ndarray, share: bool = True) -> np.ndarray:
+    """Average rank in each group, over the number of its values with ``share``."""
     out = np.full(len(x), NAN)
     live = np.flatnonzero(~np.isnan(x))
     if not len(live):
@@ -328,7 +328,7 @@ def _ranks(x: np.ndarray, group: np.ndarray) -> np.ndarray:
     run = np.cumsum(first) - 1
     high = np.r_[np.flatnonzero(first)[1:], len(order)][run]
     size = np.diff(np.r_[np.flatnonzero(first_of_group), len(order)])[np.cumsum(first_of_group) - 1]
-    out[order] = ((low - start + 1) + (high - start)) / 2.0 / size
+    out[order] = ((low - start + 1) + (high - start)) / 2.0 / (size if share else 1)
     return out
 
 
@@ -336,7 +336,7 @@ def cross_section(op: str, x: np.ndarray, params: tuple, day: np.ndarray, group:
     """The operator over the rows of each day; ``day`` and ``group`` are numbers."""
     key = day if group is None else day * (int(group.max(initial=0)) + 1) + group
     if op in ("rank", "group_rank"):
-        return _ranks(x, key)
+        return ranks(x, key)
     known = ~np.isnan(x)
     if op == "scale":
         total = np.bincount(key, np.where(known, np.abs(x), 0.0))[key]

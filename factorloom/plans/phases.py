@@ -56,9 +56,8 @@ class Pass:
     def __call__(self, table: pa.Table) -> list[pa.Array]:
         """What is passed on of a table of whole symbols or days in order."""
         n = table.num_rows
-        starts = _starts(table.column(self.by))
-        stack = arrays.Stack(n, starts)
-        day = np.repeat(np.arange(len(starts)), stack.sizes)
+        stack = arrays.Stack(n, starts(table.column(self.by)))
+        day = np.repeat(np.arange(len(stack.starts)), stack.sizes)
         groups = {g: table.column(g).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False).astype(np.int64) for g in self.groups}
         columns: dict[str, np.ndarray] = {}
         matrix = _unpacked(table.column(PACK), len(self.packed)) if self.packed else None
@@ -114,7 +113,7 @@ def _unpacked(column: pa.ChunkedArray, k: int) -> np.ndarray:
     return np.frombuffer(whole.buffers()[2], np.float64, k * len(whole), int(ends[whole.offset])).reshape(-1, k)
 
 
-def _starts(column: pa.ChunkedArray) -> np.ndarray:
+def starts(column: pa.ChunkedArray) -> np.ndarray:
     """First rows of runs of equal values."""
     if len(column) == 0:
         return np.empty(0, np.int64)
@@ -123,36 +122,32 @@ def _starts(column: pa.ChunkedArray) -> np.ndarray:
     return np.r_[0, np.flatnonzero(codes[1:] != codes[:-1]) + 1]
 
 
+def whole_runs(batches, by: str):
+    """Tables of some ``ROWS`` rows of sorted batches, each of whole runs of ``by``."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= ROWS:
+            table = pa.Table.from_batches(held)
+            cut = int(starts(table.column(by))[-1])  # the last run may go on
+            if cut:
+                yield table.slice(0, cut)
+                held, rows = table.slice(cut).to_batches(), rows - cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _runner(todo: Pass):
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def out(table: pa.Table):
+        for table in whole_runs(batches, todo.by):
             new = todo(table)
             whole = pa.Table.from_arrays([*(table.column(c) for c in todo.kept), *map(pa.chunked_array, ([x] for x in new))], names=[*todo.kept, *todo.names()])
             yield from whole.combine_chunks().to_batches(max_chunksize=ROWS)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= ROWS:
-                table = pa.Table.from_batches(held)
-                last = table.column(todo.by)[rows - 1]
-                cut = rows
-                if last.is_valid:  # the last symbol or day may go on
-                    starts = _starts(table.column(todo.by))
-                    cut = int(starts[-1])
-                else:
-                    cut = 0
-                if cut:
-                    yield from out(table.slice(0, cut))
-                    held, rows = table.slice(cut).to_batches(), rows - cut
-        if held:
-            yield from out(pa.Table.from_batches(held))
-
     return run
 
 

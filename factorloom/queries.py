@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.columns import known
+from . import evaluation_queries as evaluation
 from .functions.formula import parse
 from .functions.libraries import gtja_alpha191, qlib_alpha158, worldquant_alpha101
-from .operators.alphas import compute_alphas, with_alphas
-from .operators.evaluate import evaluate, factor_correlation
-from .operators.labels import with_labels
+from .operators.alphas import compute_alphas
+from .plans.sql import lower
+from .rounding import cut_sql, rounded
 from .sources.lineitem_panel import SQL as PANEL
-from .sources.lineitem_panel import bars, fixed
+from .sources.lineitem_panel import WIDE_SQL, bars
+from .sources.panel import check_same_keys, read_factors, roundtrip
+from .sources.scratch import new_folder
 
 _W = "(partition by asset order by time)"
 _T = "(partition by time)"
@@ -90,18 +92,13 @@ OPERATORS: dict[str, tuple[str, str]] = {
     "group_rank": ("group_rank(close, industry)", _rank("close", "time, industry")),
     "group_neutralize": ("group_neutralize(close, sector)", "close - avg(close) over (partition by time, sector)"),
 }
-#: Operators that SQL does not express: recursions, and regressions on three factors.
+#: Operators without a framed window: recursions, and regressions on three factors.
 UNPAIRED = {"sma": "sma(close, 5, 2)", "multi_resi": "multi_resi(close / delay(close, 1) - 1, mkt, smb, hml, 30)"}
 
 
-def _round(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to a number of digits, missing as NULL, and dates as text."""
-    return df.select(*[fixed(known(F.col(c)), digits).alias(c) if t == "double" else F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in df.dtypes])
-
-
 def _single(formula: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _round(compute_alphas(bars(spark, sf_dir), "asset", "time", [parse(formula).alias("value")], ordered=False))
+        return rounded(compute_alphas(bars(spark, sf_dir), "asset", "time", [parse(formula).alias("value")], ordered=False))
 
     return query
 
@@ -110,119 +107,77 @@ def _sql(body: str) -> str:
     return PANEL.format(unit="month") + body
 
 
-FACTORS = ["f1", "f2"]
-
-
-def eval_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two factors of the bars with forward returns."""
-    panel = bars(spark, sf_dir).select("asset", "time", "open", "close", "volume", "vwap", "tradable", F.col("sector").cast("string").alias("industry"))
-    factors = [parse("volume").alias("f1"), parse("delta(close, 1)").alias("f2")]
-    return with_labels(with_alphas(panel, "asset", "time", factors, validate=False), "asset", "time", [1, 3], validate=False)
-
-
-_EVAL = (
-    PANEL.format(unit="month")
-    + f""", g as (select time, row_number() over (order by time) - 1 as slot from (select distinct time from panel)),
-ps as (select panel.*, slot from panel join g using (time)),
-ev as (select a.asset, a.time, a.slot, a.tradable, a.volume as f1, a.close - lag(a.close) over (partition by a.asset order by a.time) as f2,
-   x1.close / e.close - 1 as y1, x3.close / e.close - 1 as y3
-   from ps a left join ps e on e.asset = a.asset and e.slot = a.slot + 1
-   left join ps x1 on x1.asset = a.asset and x1.slot = a.slot + 2 left join ps x3 on x3.asset = a.asset and x3.slot = a.slot + 4),
-lf as (select asset, time, slot, tradable, y1, y3, 'f1' as factor, f1 as x from ev union all select asset, time, slot, tradable, y1, y3, 'f2', f2 from ev),
-va as (select *, row_number() over (partition by time, factor order by x, asset) - 1 as pos, count(*) over (partition by time, factor) as m,
-   (rank() over (partition by time, factor order by x) + count(*) over (partition by time, factor order by x range between unbounded preceding and current row)) / 2.0 as fr
-   from lf where tradable and x is not null),
-vb as (select *, (pos * 4) // m as bucket from va where m >= 5),
-pr as (select time, slot, factor, asset, x, bucket, 1 as horizon, y1 as y from vb where y1 is not null union all select time, slot, factor, asset, x, bucket, 3, y3 from vb where y3 is not null),
-rk as (select *, rank() over (partition by time, factor, horizon order by x) + count(*) over (partition by time, factor, horizon order by x range between unbounded preceding and current row) as rx,
-   rank() over (partition by time, factor, horizon order by y) + count(*) over (partition by time, factor, horizon order by y range between unbounded preceding and current row) as ry from pr),
-ic0 as (select time, factor, horizon, case when count(*) >= 5 and var_samp(x) > 0 and var_samp(y) > 0 then corr(x, y) end as ic,
-   case when count(*) >= 5 and var_samp(rx) > 0 and var_samp(ry) > 0 then corr(rx, ry) end as rank_ic from rk group by all),
-dense as (select time, slot, factor, horizon from g, (values ('f1'), ('f2')) f(factor), (values (1), (3)) h(horizon)),
-ict as (select d.time as date, d.factor, d.horizon, ic, rank_ic from dense d left join ic0 on d.time = ic0.time and d.factor = ic0.factor and d.horizon = ic0.horizon)
-"""
-)
-
-#: tables of the evaluation: (SQL, columns)
-EVALUATION: dict[str, str] = {
-    "coverage": _EVAL + "select time as date, factor, count(case when tradable and x is not null then 1 end)::int as n_valid, count(case when not tradable and x is not null then 1 end)::int as n_masked from lf group by 1, 2",
-    "ic": _EVAL + "select date, factor, horizon, floor((ic)::double * 1e6::double + 0.5) / 1e6::double as ic, floor((rank_ic)::double * 1e6::double + 0.5) / 1e6::double as rank_ic from ict",
-    "quantile_returns": _EVAL + "select time as date, factor, (bucket + 1)::int as bin, floor((min(x))::double * 1e6::double + 0.5) / 1e6::double as bin_lo, floor((max(x))::double * 1e6::double + 0.5) / 1e6::double as bin_hi, count(*)::int as count, floor((avg(y1))::double * 1e6::double + 0.5) / 1e6::double as mean_ret_1, floor((avg(y3))::double * 1e6::double + 0.5) / 1e6::double as mean_ret_3 from vb group by 1, 2, 3",
-    "turnover": _EVAL + """, s as (select distinct factor, slot from vb), o as (select factor, slot, asset, bucket from vb where bucket in (0, 3)),
-t as (select a.factor, a.slot, h.horizon, a.bucket, 1 - count(p.asset)::double / count(*) as turn from o a cross join (values (1), (3)) h(horizon)
-   left join o p on p.factor = a.factor and p.asset = a.asset and p.bucket = a.bucket and p.slot = a.slot - h.horizon group by 1, 2, 3, 4)
-select d.time as date, d.factor, d.horizon, floor((a.turn)::double * 1e6::double + 0.5) / 1e6::double as top_turnover, floor((b.turn)::double * 1e6::double + 0.5) / 1e6::double as bottom_turnover from dense d
-   left join s on s.factor = d.factor and s.slot = d.slot - d.horizon
-   left join t a on a.factor = s.factor and a.slot = d.slot and a.horizon = d.horizon and a.bucket = 3
-   left join t b on b.factor = s.factor and b.slot = d.slot and b.horizon = d.horizon and b.bucket = 0""",
-    "portfolio": _EVAL + """, w as (select factor, slot, asset, case bucket when 0 then -0.5 / count(case when bucket = 0 then 1 end) over (partition by factor, slot) else 0.5 / count(case when bucket = 3 then 1 end) over (partition by factor, slot) end as w, bucket from vb),
-h as (select factor, horizon, slot + k as slot, asset, sum(w) / least(horizon, slot + k + 1) as w from (select w.*, n.horizon, unnest(range(n.horizon)) as k from w, (values (1), (3)) n(horizon) where bucket in (0, 3)) where slot + k <= (select max(slot) from g) group by 1, 2, 3, 4),
-mv as (select factor, horizon, slot, asset, sum(w) as d from (select factor, horizon, slot, asset, w from h union all select factor, horizon, slot + 1, asset, -w from h where slot < (select max(slot) from g)) group by 1, 2, 3, 4),
-tu as (select factor, horizon, slot, sum(abs(d)) / 2 as turnover from mv group by 1, 2, 3),
-gr as (select h.factor, h.horizon, h.slot, sum(w * y1) as gross from h join ev on ev.asset = h.asset and ev.slot = h.slot where y1 is not null group by 1, 2, 3),
-po as (select d.time, d.factor, d.horizon, coalesce(gross, 0) as gross, case when d.slot > 0 then coalesce(turnover, 0) end as turnover from dense d left join gr on gr.factor = d.factor and gr.horizon = d.horizon and gr.slot = d.slot left join tu on tu.factor = d.factor and tu.horizon = d.horizon and tu.slot = d.slot)
-select time as date, factor, horizon, floor((gross)::double * 1e6::double + 0.5) / 1e6::double as gross, floor((gross - coalesce(turnover, 0) * 10 * 1e-4)::double * 1e6::double + 0.5) / 1e6::double as net, floor((turnover)::double * 1e6::double + 0.5) / 1e6::double as turnover from po""",
-    "rank_autocorr": _EVAL + """, c as (select a.factor, l.lag, a.slot, case when count(*) >= 2 and var_samp(a.fr) > 0 and var_samp(p.fr) > 0 then corr(a.fr, p.fr) end as r from vb a cross join (values (1), (5), (10), (20)) l(lag)
-   join vb p on p.factor = a.factor and p.asset = a.asset and p.slot = a.slot - l.lag group by 1, 2, 3)
-select f.factor, l.lag, floor((avg(r))::double * 1e6::double + 0.5) / 1e6::double as rank_autocorr from (values ('f1'), ('f2')) f(factor) cross join (values (1), (5), (10), (20)) l(lag) left join c on c.factor = f.factor and c.lag = l.lag where l.lag < (select count(*) from g) group by 1, 2""",
-    "ic_monthly": _EVAL + "select year(date)::int as year, month(date)::int as month, factor, horizon, floor((avg(ic))::double * 1e6::double + 0.5) / 1e6::double as ic_mean, floor((avg(rank_ic))::double * 1e6::double + 0.5) / 1e6::double as rank_ic_mean from ict group by 1, 2, 3, 4 having count(ic) + count(rank_ic) > 0",
-}
-_CORRELATION = _EVAL + """, c as (select a.time, case when count(*) >= 5 and var_samp(a.fr) > 0 and var_samp(b.fr) > 0 then corr(a.fr, b.fr) end as r from (select * from va where m >= 5) a join (select * from va where m >= 5) b on a.time = b.time and a.asset = b.asset and a.factor = 'f1' and b.factor = 'f2' group by 1),
-k as (select floor((avg(r))::double * 1e6::double + 0.5) / 1e6::double as r from c)
-select 'f1' as factor, 1.0::double as f1, r as f2 from k union all select 'f2', r, 1.0::double from k"""
+FLAGSHIP = "rank(ts_mean(close, 5) / close)"
 
 
-def _evaluated(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        result = evaluate(eval_panel(spark, sf_dir), "asset", "time", FACTORS, quantiles=4, tradable_col="tradable", min_cs_count=5, cost_bps=10.0, validate=False)
-        return _round(result.tables[name])
+#: Factors whose ranks, at this panel, part values that are equal but for rounding
+#: noise (correlations of two rows, sums of ranks); and one of 1e12. They run without SQL.
+NOISY = {
+    "worldquant_alpha101": "alpha13 alpha15 alpha16 alpha31 alpha45 alpha85 alpha94 alpha98".split(),
+    "gtja_alpha191": [f"gtja_alpha{n:03}" for n in (32, 83, 99, 113, 115, 119, 121, 143)],
+    "qlib_alpha158": [],
+}
+BUILDERS = {"qlib_alpha158": qlib_alpha158, "worldquant_alpha101": worldquant_alpha101, "gtja_alpha191": gtja_alpha191}
 
-    return query
 
+def _members(name: str, noisy: bool) -> list:
+    return [e for e in BUILDERS[name]() if (e.output_name() in NOISY[name]) == noisy]
 
-def _correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(factor_correlation(eval_panel(spark, sf_dir), "asset", "time", FACTORS, "tradable", 5, validate=False))
 
+def _library(name: str, noisy: bool = False):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(compute_alphas(bars(spark, sf_dir), "asset", "time", _members(name, noisy), validate=False, ordered=False), 4)
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_labels(bars(spark, sf_dir).select("asset", "time", "open", "close", "tradable"), "asset", "time", [1, 5], entry_lag=1, entry_col="open", exit_col="close", tradable_col="tradable", validate=False)
-    return _round(found.select("asset", "time", "ret_1", "ret_5", "tradable_entry"))
+    return query
 
 
-_LABELS = PANEL.format(unit="month") + """, g as (select time, row_number() over (order by time) - 1 as slot from (select distinct time from panel)),
-ps as (select panel.*, slot from panel join g using (time))
-select a.asset, a.time, floor((x1.close / e.open - 1)::double * 1e6::double + 0.5) / 1e6::double as ret_1, floor((x5.close / e.open - 1)::double * 1e6::double + 0.5) / 1e6::double as ret_5, coalesce(e.tradable, false) as tradable_entry
-from ps a left join ps e on e.asset = a.asset and e.slot = a.slot + 1 left join ps x1 on x1.asset = a.asset and x1.slot = a.slot + 2 left join ps x5 on x5.asset = a.asset and x5.slot = a.slot + 6"""
+def _lowered(outputs: dict, digits: int) -> str:
+    """SQL of a batch of expressions over the panel."""
+    stages, values = lower(outputs, "wide", "asset", "time", "i")
+    columns = ", ".join(f"{cut_sql(v, digits)} as {n}" for n, v in values.items())
+    return PANEL.format(unit="month") + WIDE_SQL + f", {stages} select time, asset, {columns} from stages"
 
-FLAGSHIP = "rank(ts_mean(close, 5) / close)"
 
+def _compute(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return compute_alphas(bars(spark, sf_dir), "asset", "time", [parse(FLAGSHIP).alias("value")], **options)
 
-def _library(builder, names: list[str] | None = None):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return compute_alphas(bars(spark, sf_dir), "asset", "time", builder(alphas=names), validate=False, ordered=False)
 
-    return query
+def _saved_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alphas written as Parquet, and read back as the factors of the panel."""
+    panel = bars(spark, sf_dir)
+    path = new_folder(spark, "alphas") + "/alphas.parquet"
+    compute_alphas(panel, "asset", "time", [parse("ts_mean(close, 5)").alias("value")], output_path=path)
+    read = read_factors(spark, path, "asset", "time", ["value"])
+    check_same_keys(panel, read, "asset", "time")
+    return rounded(read.select("time", "asset", "value"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found: dict = {"panel": lambda spark, d: _round(bars(spark, d).select("asset", "time", "open", "high", "low", "close", "volume", "vwap", "tradable"))}
+    shown = ["asset", "time", "open", "high", "low", "close", "volume", "vwap", "tradable"]
+    found: dict = {"panel": lambda spark, d: rounded(bars(spark, d).select(*shown)), "roundtrip": lambda spark, d: rounded(roundtrip(bars(spark, d)).select(*shown))}
     found |= {f"expr_{n}": _single(f) for n, (f, _) in OPERATORS.items()} | {f"expr_{n}": _single(f) for n, f in UNPAIRED.items()}
-    found["with_labels"] = _labelled
-    found |= {f"evaluate_{n}": _evaluated(n) for n in (*EVALUATION, "summary")}
-    found["factor_correlation"] = _correlated
-    found["qlib_alpha158"] = _library(qlib_alpha158)
-    found["worldquant_alpha101"] = _library(worldquant_alpha101)
-    found["gtja_alpha191"] = _library(gtja_alpha191)
-    return found
+    found["compute_symbol_major"] = lambda spark, d: rounded(_compute(spark, d))
+    found["compute_time_major"] = lambda spark, d: rounded(_compute(spark, d, time_major=True))
+    found["compute_top"] = lambda spark, d: rounded(_compute(spark, d, ordered=False).where("value is not null").orderBy(F.desc("value"), "time", "asset").limit(100))
+    found["compute_to_parquet"] = _saved_panel
+    for name in BUILDERS:
+        found[name] = _library(name)
+        if NOISY[name]:
+            found[f"{name}_noisy"] = _library(name, True)
+    return found | evaluation.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"panel": _sql("select asset, time, open, high, low, close, volume, vwap, tradable from panel")}
-    found |= {f"expr_{n}": _sql(f"select time, asset, floor((({s})::double)::double * 1e6::double + 0.5) / 1e6::double as value from panel") for n, (_, s) in OPERATORS.items()}
-    found["with_labels"] = _LABELS
-    found |= {f"evaluate_{n}": s for n, s in EVALUATION.items()}
-    for n, s in found.items():
-        if n not in ("evaluate_rank_autocorr", "evaluate_ic_monthly"):
-            c = "date" if n.startswith("evaluate_") else "time"
-            found[n] = f"select * replace ({c}::varchar as {c}) from ({s})"
-    return found | {"factor_correlation": _CORRELATION}
+    panel = _sql("select asset, time::varchar as time, open, high, low, close, volume, vwap, tradable from panel")
+    found = {"panel": panel, "roundtrip": panel}
+    one = lambda s: _sql(f"select time, asset, {cut_sql('v')} as value from (select time, asset, ({s})::double as v from panel)")
+    found |= {f"expr_{n}": one(s) for n, (_, s) in OPERATORS.items()}
+    found |= {f"expr_{n}": _lowered({"value": parse(f)}, 6) for n, f in UNPAIRED.items()}
+    flagship = _lowered({"value": parse(FLAGSHIP)}, 6)
+    found |= {"compute_symbol_major": flagship, "compute_time_major": flagship, "compute_to_parquet": _lowered({"value": parse("ts_mean(close, 5)")}, 6)}
+    stages, values = lower({"value": parse(FLAGSHIP)}, "wide", "asset", "time", "i")
+    found["compute_top"] = PANEL.format(unit="month") + WIDE_SQL + f", {stages}, v as (select time, asset, {values['value']} as v from stages) select time, asset, {cut_sql('v')} as value from (select * from v where v is not null order by v desc, time, asset limit 100)"
+    for name in BUILDERS:
+        found[name] = _lowered({e.output_name(): e for e in _members(name, False)}, 4)
+    found = {n: s if n in ("panel", "roundtrip") else f"select * replace (time::varchar as time) from ({s})" for n, s in found.items()}
+    return found | evaluation.oracle_sql()

@@ -31,19 +31,19 @@ def bars(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
         {
             "vwap": fixed(F.col("vwap"), 6),
             "subindustry": (F.col("industry") * 2 + F.col("asset") % 2).cast("int"),
-            "cap": F.round(F.col("close") * (F.col("asset") % 5 + 1), 4),
+            "cap": fixed(F.col("close") * (F.col("asset") % 5 + 1), 4),
             "tradable": F.col("volume") > 40,
         }
     )
     day = Window.partitionBy("time")
     exact = lambda c: F.sum(F.col(c).cast("decimal(18,4)")).over(day).cast("double")
     n = F.count(F.lit(1)).over(day)
-    bar = bar.withColumns({"index_open": F.round(exact("open") / n, 4), "index_close": F.round(exact("close") / n, 4)})
+    bar = bar.withColumns({"index_open": fixed(exact("open") / n, 4), "index_close": fixed(exact("close") / n, 4)})
     return bar.withColumns(
         {
-            "mkt": F.round(F.col("index_close") / F.col("index_open") - 1, 6),
-            "smb": F.round(F.sin(F.col("index_close")), 6),
-            "hml": F.round(F.cos(F.col("index_open") * 3), 6),
+            "mkt": fixed(F.col("index_close") / F.col("index_open") - 1, 6),
+            "smb": fixed(F.sin(F.col("index_close")), 6),
+            "hml": fixed(F.cos(F.col("index_open") * 3), 6),
         }
     )
 
@@ -59,9 +59,14 @@ panel as (select bar.*, n_regionkey as sector, s_nationkey as industry, (s_natio
     volume > 40 as tradable, row_number() over (partition by asset order by time) as i
     from bar join supplier on s_suppkey = asset join nation on n_nationkey = s_nationkey)
 """
+def _fixed_sql(x: str, digits: int) -> str:
+    return f"floor(({x}) * 1e{digits}::double + 0.5::double) / 1e{digits}::double"
+
+
+_MEAN = "sum({}::decimal(18,4))::double / count(*)"
 #: The columns of the market besides, as ``wide``; behind ``SQL``.
-WIDE_SQL = """,
-idx as (select time, round(sum(open::decimal(18,4))::double / count(*), 4) as index_open, round(sum(close::decimal(18,4))::double / count(*), 4) as index_close from panel group by time),
-wide as (select panel.*, round(close * (asset % 5 + 1), 4) as cap, index_open, index_close, round(index_close / index_open - 1, 6) as mkt, round(sin(index_close), 6) as smb, round(cos(index_open * 3), 6) as hml
+WIDE_SQL = f""",
+idx as (select time, {_fixed_sql(_MEAN.format('open'), 4)} as index_open, {_fixed_sql(_MEAN.format('close'), 4)} as index_close from panel group by time),
+wide as (select panel.*, {_fixed_sql('close * (asset % 5 + 1)', 4)} as cap, index_open, index_close, {_fixed_sql('index_close / index_open - 1', 6)} as mkt, {_fixed_sql('sin(index_close)', 6)} as smb, {_fixed_sql('cos(index_open * 3)', 6)} as hml
     from panel join idx using (time))
 """
