@@ -1,20 +1,13 @@
-"""Helpers that the operators of this subpackage share.
-
-Tables that cut lineage are written as Parquet below the shared folder named by
-``spark.checkpoint.dir`` (never to a machine-local folder), so a lost executor
-costs the recomputation of its own tasks only.
-"""
+"""Helpers that the operators of this subpackage share; tables that cut lineage are
+those of ``sources.scratch``."""
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop, written  # noqa: F401
+
 #: Rows in one Arrow batch between the JVM and Python; bounds a worker's memory.
 BATCH_ROWS = 256
 
@@ -23,48 +16,6 @@ BATCH_ROWS = 256
 BROADCAST_BYTES = 64 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``. Where it is
-    unset, a folder of this process on a local master, and an error on a cluster."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    global _own
-    if _own is None:
-        _own = "file://" + os.path.join(tempfile.gettempdir(), f"factorloom-{uuid.uuid4().hex}")
-    return _own
-
-
-_own: str | None = None
-
-
-def _place(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back. The table
-    goes with :func:`drop`, or when the JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place, files = _place(spark, path)
-    files.deleteOnExit(place)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables that :func:`written` returned, once nothing reads them any more."""
-    for table in tables:
-        place, files = _place(table.sparkSession, table._written)
-        files.delete(place, True)
-
-
 def small(df: DataFrame) -> DataFrame:
     """A written table of fixed-width columns, broadcast if all its rows fit in
     ``BROADCAST_BYTES``, else joined by shuffle."""

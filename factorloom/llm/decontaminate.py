@@ -5,9 +5,9 @@ item's distinct word shingles. The items are partitioned by their number of
 shingles; an item of q shingles, of which k must be found, is sketched by its
 q - k + 1 least hash values, so a document that contains it meets the sketch in
 at least one of them, whatever the length of the document: the search misses
-nothing. Documents look up only those of their shingle hashes that are no
-greater than the greatest sketch value of a size class that is small enough to
-fit in the document. Candidates are verified by exact containment of the shingle
+nothing. A document looks up, in each size class that fits in it, those of its
+shingle hashes that are no greater than the greatest sketch value of the class.
+Candidates are verified by exact containment of the shingle
 texts. All steps are SQL and DataFrame functions.
 """
 
@@ -20,6 +20,7 @@ from .common import table, text_key, written
 
 WORDS = 5
 SIMILARITY = 0.8
+TEXT_SEED = 1
 #: Sketch rows and items that are still broadcast: 24 bytes a row; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -43,24 +44,18 @@ def shingles(w: Column, n: Column) -> Column:
     return F.array_distinct(F.transform(_starts(w, n), lambda i: F.array_join(F.slice(w, i, n), " ")))
 
 
-def _probes(w: Column, n: int, top: Column) -> Column:
-    """The shingle hashes that a document looks up, with their length."""
-    return F.transform(F.filter(hashes(w, n), lambda h: h <= top), lambda h: F.struct(F.lit(n).alias("n"), h.alias("h")))
+def _probes(hashed: Column, words_: Column, n: int, size_class: int, need: int, top: int) -> Column:
+    """The shingle hashes that a document looks up in a class, with its name."""
+    fits = F.when(F.size(words_) >= need + n - 1, hashed).otherwise(F.expr("cast(array() as array<bigint>)"))
+    return F.transform(F.filter(fits, lambda h: h <= top), lambda h: F.struct(F.lit(n).alias("n"), F.lit(size_class).alias("class"), h.alias("h")))
 
 
 def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", similarity: float = SIMILARITY, size: int = WORDS) -> DataFrame:
-    """doc_id, item_id, n_shared, n_shingles, containment of every pair at or above
-    ``similarity``.
-
-    An item of fewer than ``size`` words has its whole word sequence as its only
-    shingle; items and documents without words match nothing, null texts among
-    them. Of repeated rows and ids each pair is returned once, with the greatest
-    containment; null ids are kept and match like others; empty tables give no
-    rows; other columns are not looked at."""
+def _matched(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", similarity: float = SIMILARITY, size: int = WORDS) -> DataFrame:
+    """doc_id, th (hash of the text), item_id, n_shared, n_shingles, containment."""
     w = F.col("w")
     listed = items.select(F.col(item_key).cast("long").alias("item_id"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(size))
@@ -74,34 +69,47 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "d
     # at most 6 x 64 rows: shingle length x bits of the number of shingles
     classes = sketch.groupBy("n", "class").agg(F.max("h").alias("top"), F.min("need").alias("need")).collect()
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    source = source.select("doc_id", text_key(F.col("t"), 1).alias("th"), words(F.col("t")).alias("w"))
-    probes = None
-    for length in sorted({c["n"] for c in classes}):
-        top = F.greatest(F.lit(None).cast("long"), *[F.when(F.size("w") >= c["need"] + length - 1, F.lit(c["top"])) for c in classes if c["n"] == length])
-        part = _probes(w, length, top)
-        probes = part if probes is None else F.concat(probes, part)
-    if probes is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shared int, n_shingles int, containment double")
-    probed = source.select("doc_id", "th", F.explode(probes).alias("p")).select("doc_id", "th", "p.n", "p.h")
-    found = probed.join(_maybe_broadcast(sketch.select("n", "h", "item").distinct()), ["n", "h"]).select("doc_id", "th", "item")
+    source = source.select("doc_id", text_key(F.col("t"), TEXT_SEED).alias("th"), words(F.col("t")).alias("w"))
+    if not classes:
+        return docs.sparkSession.createDataFrame([], "doc_id long, th long, item_id long, n_shared int, n_shingles int, containment double")
+    hashed = source.select("doc_id", "th", "w", *[hashes(w, n).alias(f"h{n}") for n in sorted({c["n"] for c in classes})])
+    probes = F.concat(*[_probes(F.col(f"h{c['n']}"), w, c["n"], c["class"], c["need"], c["top"]) for c in classes])
+    probed = hashed.select("doc_id", "th", F.explode(probes).alias("p")).select("doc_id", "th", "p.*")
+    found = probed.join(_maybe_broadcast(sketch.select("n", "class", "h", "item").distinct()), ["n", "class", "h"]).select("doc_id", "th", "item")
     found = written(found.distinct(), "candidates")
     wanted = found.groupBy("doc_id", "th").agg(F.collect_list("item").alias("wanted"))  # items at most
     wanted = F.broadcast(wanted) if found.count() <= BROADCAST_ROWS // 10 else wanted
     a, b = source.alias("a"), wanted.alias("b")
-    near = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th"))).select("a.doc_id", "w", "wanted")
+    near = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th"))).select("a.doc_id", "a.th", "w", "wanted")
     lengths = sorted({c["n"] for c in classes})
     own = F.create_map(*[x for k in lengths for x in (F.lit(k), shingles(w, F.lit(k)))])
-    near = near.withColumn("own", own).select("doc_id", "own", F.explode("wanted").alias("item"))
-    checked = near.join(_maybe_broadcast(listed), "item").select("doc_id", "item_id", F.size(F.array_intersect("s", F.col("own")[F.col("n")])).alias("n_shared"), F.col("q").alias("n_shingles"), "need")
-    checked = checked.where("n_shared >= need").withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    near = near.withColumn("own", own).select("doc_id", "th", "own", F.explode("wanted").alias("item"))
+    checked = near.join(_maybe_broadcast(listed), "item").select("doc_id", "th", "item_id", F.size(F.array_intersect("s", F.col("own")[F.col("n")])).alias("n_shared"), F.col("q").alias("n_shingles"), "need")
+    return checked.where("n_shared >= need").withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+
+
+def matches(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """doc_id, item_id, n_shared, n_shingles, containment of every pair at or above
+    ``similarity``. Options: item_text, item_key, similarity, size.
+
+    An item of fewer than ``size`` words has its whole word sequence as its only
+    shingle; items and documents without words match nothing, null texts among
+    them. Of repeated rows and ids each pair is returned once, with the greatest
+    containment; null ids are kept and match like others; empty tables give no
+    rows; other columns are not looked at."""
+    checked = _matched(docs, items, text, key, **options)
     best = F.max(F.struct("containment", "n_shared", "n_shingles")).alias("best")
     return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_shared", "best.n_shingles", "best.containment")
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is in no match, all columns kept."""
-    hit = matches(docs, items, text, key, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs[key].cast("long").eqNullSafe(hit["__hit"]), "left_anti")
+    """The rows of ``docs`` whose text holds no item, all columns kept, whatever
+    their names. Rows of one id are judged each by its own text."""
+    hit = _matched(docs, items, text, key, **options).select("doc_id", "th").distinct()
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("doc_id"), text_key(body, TEXT_SEED).alias("th"))
+    a, b = rows.alias("a"), hit.alias("b")
+    return a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left_anti").select("row.*")
 
 
 def op1_decontaminate(spark, sf_dir):
