@@ -1 +1 @@
-
+"""Factors of bars that arrive as a stream."""
