@@ -47,7 +47,7 @@ def compute_alphas(df: DataFrame, symbol_col: str, time_col: str, alphas: list[E
     order = [time_col, symbol_col] if time_major else [symbol_col, time_col]
     if output_path is None:
         return out.orderBy(*order) if ordered else out
-    out.sortWithinPartitions(*order).write.mode("overwrite").parquet(output_path)
+    out.orderBy(*order).write.mode("overwrite").parquet(output_path)
     batches, rows = df.sparkSession.read.parquet(output_path).agg(F.countDistinct("_metadata.file_path"), F.count(F.lit(1))).first()
     return {"output_path": output_path, "n_observations": batches, "n_rows": rows}
 
