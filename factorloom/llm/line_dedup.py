@@ -36,24 +36,31 @@ def _cuts(outside: Column, start: Column, block: Column, blocks: int) -> Column:
     """(k, o, r) for each part of a block that starts at ``start``: the hash of all
     outside it, where it starts in the line, and the part. A block is cut as one of its own length is and as one of a character less is,
     where the character too many falls into the part."""
-    n = F.length(block)
 
-    def parts(size: Column, extra: int) -> Column:
-        at = lambda j: F.floor(size * j / blocks).cast("int")
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(blocks - 1)),
-            lambda j: F.struct(
-                F.xxhash64(outside, size, j, F.substring(block, F.lit(1), at(j)), F.substring(block, at(j + 1) + extra + 1, n)).alias("k"),
-                (start + at(j)).alias("o"),
-                F.substring(block, at(j) + 1, at(j + 1) - at(j) + extra).alias("r"),
-            ),
-        )
+    def part(size: Column, extra: int, j: Column) -> Column:
+        at, to = (F.floor(size * k / blocks).cast("int") for k in (j, j + 1))
+        return F.struct(_key(outside, block, size, extra, j, blocks).alias("k"), (start + at).alias("o"), F.substring(block, at + 1, to - at + extra).alias("r"))
+
+    return _each_part(block, blocks, part)
+
 
-    return F.concat(parts(n, 0), parts(n - 1, 1))
+def _key(outside: Column, block: Column, size: Column, extra: int, j: Column, blocks: int) -> Column:
+    at, to = (F.floor(size * k / blocks).cast("int") for k in (j, j + 1))
+    return F.xxhash64(outside, size, j, F.substring(block, F.lit(1), at), F.substring(block, to + extra + 1, F.length(block)))
+
+
+def _each_part(block: Column, blocks: int, part) -> Column:
+    """``part`` of every block, for both sizes. Halves are written out, which keeps
+    the cut that every line gets in generated code."""
+    n = F.length(block)
+    if blocks == HALVES:
+        return F.array(*[part(size, extra, F.lit(j)) for size, extra in ((n, 0), (n - 1, 1)) for j in range(blocks)])
+    places = F.sequence(F.lit(0), F.lit(blocks - 1))
+    return F.concat(F.transform(places, lambda j: part(n, 0, j)), F.transform(places, lambda j: part(n - 1, 1, j)))
 
 
 def _keys(outside: Column, block: Column, blocks: int) -> Column:
-    return F.transform(_cuts(outside, F.lit(0), block, blocks), lambda x: x["k"])
+    return _each_part(block, blocks, lambda size, extra, j: _key(outside, block, size, extra, j, blocks))
 
 
 def _shared(each: DataFrame) -> DataFrame:
