@@ -6,6 +6,8 @@ many operators it has. A pass holds whole symbols (or days) of some ten thousand
 rows at once; columns that it does not read go through as they are. What a phase
 makes for later ones travels as one column of packed doubles, since hundreds of
 columns would cost the exchange and its generated code more than the operators.
+A phase makes all it can anew from the panel's columns and takes from the phase
+before only what is dealt by the other key.
 """
 
 from __future__ import annotations
@@ -28,12 +30,13 @@ PACK = "__pack"
 
 class Pass:
     """What one phase computes: ``wanted`` expressions by name, from columns and
-    from the packed names of the phase before. ``out``: the names to pass on;
-    packed, or columns in the last phase."""
+    from what the phase before packed (``ready``: names by expression). The wanted
+    ones are packed, or columns in the last phase; ``kept`` columns go on besides."""
 
-    def __init__(self, by: str, wanted: dict[str, Expr], ready: dict[int, str], values, groups: list[str], kept: list[str], packed: list[str], out: list[str], last: bool) -> None:
-        self.by, self.wanted, self.ready, self.values, self.groups, self.kept = by, wanted, ready, values, groups, kept
-        self.packed, self.out, self.last = {name: i for i, name in enumerate(packed)}, out, last
+    def __init__(self, by: str, wanted: dict[str, Expr], ready: dict[int, str], values, last: bool) -> None:
+        self.by, self.wanted, self.ready, self.values, self.last = by, wanted, ready, values, last
+        self.packed = {name: i for i, name in enumerate(ready.values())}
+        self.kept: list[str] = []
         self.steps: list[Expr] = []
         seen: set[int] = set()
         stack = [(e, False) for e in reversed(wanted.values())]
@@ -49,9 +52,10 @@ class Pass:
                 stack += [(a, False) for a in values(e)]
         self.uses = Counter(a.key for e in self.steps for a in values(e))
         self.uses.update(e.key for e in wanted.values())
+        self.groups = sorted({e.args[1].params[0] for e in self.steps if e.op in ("group_rank", "group_neutralize")})
 
     def names(self) -> list[str]:
-        return self.out if self.last else [PACK]
+        return list(self.wanted) if self.last else [PACK]
 
     def __call__(self, table: pa.Table) -> list[pa.Array]:
         """What is passed on of a table of whole symbols or days in order."""
@@ -93,8 +97,7 @@ class Pass:
                     made[e.key] = arrays.cross_section(e.op, args[0], e.params, day, groups[e.args[1].params[0]] if len(e.args) > 1 else None)
                 else:
                     made[e.key] = arrays.time_series(e.op, args, e.params, stack)
-            new = {name: np.broadcast_to(np.asarray(value(e), float), n) for name, e in self.wanted.items()}
-        out = [new[name] if name in new else read(name) for name in self.out]
+            out = [np.broadcast_to(np.asarray(value(e), float), n) for e in self.wanted.values()]
         return [pa.array(np.array(x), pa.float64(), mask=np.isnan(x)) for x in out] if self.last else [_packed(out, n)]
 
 
@@ -129,14 +132,15 @@ def whole_runs(batches, by: str):
     for batch in batches:
         if not batch.num_rows:
             continue
+        if rows + batch.num_rows >= ROWS:  # only the new rows are looked at: a run may be of many batches
+            before = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+            cut = int(starts(pa.Table.from_batches([*before, batch]).column(by))[-1]) - len(before)  # the last run may go on
+            if rows + cut > 0 and cut >= 0:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held, rows = [], 0
+                batch = batch.slice(cut)
         held.append(batch)
         rows += batch.num_rows
-        if rows >= ROWS:
-            table = pa.Table.from_batches(held)
-            cut = int(starts(table.column(by))[-1])  # the last run may go on
-            if cut:
-                yield table.slice(0, cut)
-                held, rows = table.slice(cut).to_batches(), rows - cut
     if held:
         yield pa.Table.from_batches(held)
 
@@ -160,47 +164,52 @@ def run_pass(df: DataFrame, todo: Pass, order: list[str]) -> DataFrame:
 
 def evaluate(plan, df: DataFrame, symbol: str, time: str, keep: list[str]) -> DataFrame:
     """``keep`` columns of ``df`` and the outputs of ``plan``, phase by phase."""
-    phase = {k: at[0] for k, at in plan.at.items()}
-    last = max(phase.values(), default=0)
-    values = plan.values
-    columns = {e.params[0] for e in plan.nodes.values() if e.op == "col"}
-    group_of = lambda e: e.args[1].params[0] if e.op in ("group_rank", "group_neutralize") else None
-    ready: dict[int, str] = {}
-    outputs = {n: e for n, e in plan.outputs.items()}
+    last = max((at[0] for at in plan.at.values()), default=0) or 1
+    outputs = plan.outputs
     place = {n: f"__o{i}" for i, n in enumerate(outputs)}
-    carried: dict[str, str] = {}  # outputs that are made, and their names
-    packed: list[str] = []
-    todo_phases = sorted({k for k in phase.values() if k} | {last or 1})
-    for p in todo_phases:
-        done = {n: e for n, e in outputs.items() if n not in carried and (phase[e.key] <= p)}
-        later = [e for e in plan.nodes.values() if phase[e.key] > p]
-        frontier = {a.key: a for e in later for a in values(e) if 0 < phase[a.key] <= p and a.op not in ("col", "lit")}
-        wanted = {place[n]: e for n, e in done.items()} | {f"__n{k}": a for k, a in sorted(frontier.items()) if k not in ready}
-        needed_later = {c for e in later for a in values(e) for c in _columns(plan, a, phase)} | {g for e in later if (g := group_of(e))}
-        still = [name for k, name in ready.items() if k in frontier]
-        kept = list(dict.fromkeys([*keep, symbol, time, *sorted(needed_later & columns | {g for e in later if (g := group_of(e))})]))
-        out = [*carried.values(), *still, *wanted]
-        odd = p % 2 == 1
-        here = [e for e in plan.nodes.values() if phase[e.key] == p]
-        todo = Pass(symbol if odd else time, wanted, dict(ready), values, sorted({g for e in here if (g := group_of(e))}), kept, packed, out, p == todo_phases[-1])
-        read = dict.fromkeys([*kept, *_inputs(todo), *todo.groups, *([PACK] if packed else [])])
-        df = run_pass(df.select(*[F.col(f"`{c}`") for c in read]), todo, [symbol, time] if odd else [time, symbol])
-        packed = out
-        ready = {k: n for k, n in ready.items() if k in frontier} | {k: f"__n{k}" for k in frontier}
-        carried |= {n: place[n] for n in done}
-    return df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(carried[n]).alias(n) for n in outputs])
-
-
-def _columns(plan, e: Expr, phase: dict[int, int]) -> set[str]:
-    """Columns of the panel that a value before the first phase is made of."""
-    found, stack = set(), [e]
+    wanted = {place[n]: e for n, e in outputs.items()}
+    todo: list[tuple[dict[str, Expr], dict[int, str]]] = []
+    for p in range(last, 0, -1):
+        needs = _needs(plan, wanted.values(), p) if p > 1 else {}
+        todo.insert(0, (wanted, {k: f"__n{k}" for k in needs}))
+        wanted = {f"__n{k}": e for k, e in needs.items()}
+    passes = [Pass(time if i % 2 else symbol, wanted, ready, plan.values, i == len(todo) - 1) for i, (wanted, ready) in enumerate(todo)]
+    kept = list(dict.fromkeys([*keep, symbol, time]))
+    for one in reversed(passes):
+        one.kept = kept
+        kept = list(dict.fromkeys([*kept, *_inputs(one), *one.groups]))
+    passes = [one for one in passes if one.wanted]  # no symbol's operators before the first day's
+    for one in passes:
+        read = dict.fromkeys([*one.kept, *_inputs(one), *one.groups, *([PACK] if one.packed else [])])
+        df = run_pass(df.select(*[F.col(f"`{c}`") for c in read]), one, [symbol, time] if one.by == symbol else [time, symbol])
+    return df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(place[n]).alias(n) for n in outputs])
+
+
+def _needs(plan, wanted, p: int) -> dict[int, Expr]:
+    """What phase ``p`` takes from the phase before to make ``wanted``: operators by
+    the other key, or what is made of several of them alone. All else a phase makes
+    anew from the panel's columns, so no value waits through exchanges for its use."""
+    own = lambda e: (e.op in CROSS_SECTION) == (p % 2 == 0)
+    near: dict[int, frozenset[int]] = {}  # the operators next below a value
+    for e in plan.nodes.values():
+        if e.op in arrays.ELEMENTWISE:
+            near[e.key] = frozenset().union(*(near[a.key] for a in e.args))
+        else:
+            near[e.key] = frozenset() if e.op in ("col", "lit") else frozenset([e.key])
+    found: dict[int, Expr] = {}
+    seen: set[int] = set()
+    stack = list(wanted)
     while stack:
-        x = stack.pop()
-        if x.op == "col":
-            found.add(x.params[0])
-        elif phase[x.key] == 0:
-            stack += plan.values(x)
-    return found
+        e = stack.pop()
+        if e.key in seen or e.op in ("col", "lit"):
+            continue
+        seen.add(e.key)
+        below = near[e.key]
+        if below and not any(own(plan.nodes[k]) for k in below) and (len(below) > 1 or e.key in below):
+            found[e.key] = e
+        else:
+            stack += plan.values(e)
+    return dict(sorted(found.items()))
 
 
 def _inputs(todo: Pass) -> list[str]:
