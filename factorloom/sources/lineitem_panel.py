@@ -17,9 +17,11 @@ def bars(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
     """asset, time (date), open high low close volume vwap cap, sector industry
     subindustry, tradable, index_open index_close mkt smb hml."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    lines = read("lineitem").select(
-        F.col("l_suppkey").alias("asset"), F.to_date(F.date_trunc(unit, "l_shipdate")).alias("time"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("at"),
-        fixed(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("price"), "l_quantity", F.col("l_extendedprice").cast("decimal(18,2)").alias("money"),
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    lines = read("lineitem").select(F.col("l_suppkey").alias("asset"), F.to_date(F.date_trunc(unit, "l_shipdate")).alias("time"), *order, "l_quantity")
+    # few lines are of one bar: they are dealt as they are, which is less than their aggregates
+    lines = lines.repartition("asset", "time").select(
+        "asset", "time", F.struct(*order).alias("at"), fixed(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("price"), "l_quantity", F.col("l_extendedprice").cast("decimal(18,2)").alias("money"),
     )
     bar = lines.groupBy("asset", "time").agg(
         F.min_by("price", "at").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "at").alias("close"),
