@@ -26,7 +26,8 @@ def eval_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two factors of the bars with forward returns."""
     panel = bars(spark, sf_dir).select("asset", "time", "open", "close", "volume", "vwap", "tradable", F.col("sector").cast("string").alias("industry"))
     factors = [parse("volume").alias("f1"), parse("delta(close, 1)").alias("f2")]
-    return with_labels(with_alphas(panel, "asset", "time", factors, validate=False), "asset", "time", [1, 3], validate=False)
+    # with_labels reads it for the days too
+    return with_labels(written(with_alphas(panel, "asset", "time", factors, validate=False), "bars"), "asset", "time", [1, 3], validate=False)
 
 
 def base_sql(demean: str = "none", binning: str = "daily") -> str:

@@ -1,16 +1,19 @@
 """``evaluate``: how well factors rank future returns, as DataFrames.
 
-Factors and horizons are unpivoted into one long table, so all of them share the
-same few exchanges by (time, factor). The daily tables are dense: a row for each
-day and factor, missing where a day is too thin.
+The panel is read once. Tables of a day's own rows come from one pass over whole days,
+those that follow a symbol from day to day from one over whole symbols behind it; each
+pass makes sums for days, which are written, and the tables are made from those when
+they are asked for. The daily tables are dense: a row for each day and factor, missing
+where a day is too thin.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field as datafield
-from functools import reduce
+from functools import cache, cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import divide, known, pearson
+from ..functions.columns import divide, known
 from ..plans import arrays, phases
 from ..sources import panel as P
 from ..sources.scratch import written
@@ -31,11 +34,30 @@ TABLES = ("summary", "rank_autocorr", "ic", "quantile_returns", "coverage", "tur
 SUMMARY = "factor horizon n_days ic_mean ic_std ic_ir ic_t_nw ic_win_rate rank_ic_mean rank_ic_std rank_ic_ir rank_ic_t_nw rank_ic_win_rate spread_mean spread_t_nw monotonicity avg_coverage ls_gross_ann ls_net_ann ls_ir ls_turnover top_turnover bottom_turnover".split()
 
 
+class Tables(Mapping):
+    """Tables by name, each made when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]) -> None:
+        self._makers = {n: cache(make) for n, make in makers.items()}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._makers[name]()
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._makers
+
+
 @dataclass
 class EvalResult:
     """Tables by name, and a snapshot of the options."""
 
-    tables: dict[str, DataFrame]
+    tables: Mapping[str, DataFrame]
     meta: dict
     output_dir: str | None = None
     _spark: SparkSession | None = datafield(default=None, repr=False)
@@ -55,7 +77,7 @@ class EvalResult:
         save_tables(self._spark, self.tables, self.meta, directory)
 
 
-def save_tables(spark: SparkSession, tables: dict[str, DataFrame], meta: dict, directory: str) -> None:
+def save_tables(spark: SparkSession, tables: Mapping[str, DataFrame], meta: dict, directory: str) -> None:
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{directory}/{name}.parquet")
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{directory}/meta.json")
@@ -87,16 +109,6 @@ def _labels(df: DataFrame, label_cols: list[str] | None, skip: set[str]) -> list
     return sorted(found, key=lambda x: x[1])
 
 
-def long_factors(df: DataFrame, keys: list[str], factors: list[str], value: str = "x") -> DataFrame:
-    return df.unpivot(keys, [F.col(f"`{f}`") for f in factors], "factor", value)
-
-
-def average_rank(x: Column, keys: list[str]) -> Column:
-    """Average rank from 1 among the rows of a partition; x is never missing."""
-    up = Window.partitionBy(*keys).orderBy(x)
-    return (F.rank().over(up) + F.count(x).over(up.rangeBetween(Window.unboundedPreceding, 0))) / 2.0
-
-
 def global_cuts(values: DataFrame, quantiles: int) -> DataFrame:
     """``values``: factor, x. Returns factor, cuts (the interpolated quantiles k / q),
     least, most. Values are counted, dealt by range and numbered by running sums of
@@ -122,77 +134,276 @@ def global_cuts(values: DataFrame, quantiles: int) -> DataFrame:
 class _Base:
     """What all tables are made from."""
 
-    def __init__(self, df, symbol, time, factors, labels, quantiles, binning, group, tradable, demean, gate) -> None:
-        self.s, self.t, self.factors, self.q, self.gate = symbol, time, factors, quantiles, gate
+    def __init__(self, df, symbol, time, factors, labels, quantiles, binning, group, tradable, demean, weighting, gate) -> None:
+        self.factors, self.q, self.weighting, self.gate = factors, quantiles, weighting, gate
         self.horizons = [h for _, h in labels]
-        days = day_index(df, time)
         names = [n for n, _ in labels]
-        rows = P.clean(df.select(*dict.fromkeys([symbol, time, *factors, *names, *([tradable] if tradable else []), *([group] if group else [])])), [*factors, *names])
+        rows = P.clean(df.select(*dict.fromkeys([symbol, time, *factors, *names, *([tradable] if tradable else []), *([group] if group else [])])), [*factors, *names]).where(F.col(f"`{time}`").isNotNull())
         live = F.coalesce(F.col(f"`{tradable}`"), F.lit(False)) if tradable else F.lit(True)
-        rows = rows.withColumn("__live", live).join(days, time)
+        rows = rows.withColumn("__live", live)
         ys = {f"__y{h}": F.col(f"`{n}`") for n, h in labels}
         if demean != "none":
             over = Window.partitionBy(time) if demean == "universe" else Window.partitionBy(time, group)
             ys = {k: y - F.coalesce(F.avg(F.when(F.col("__live"), y)).over(over), F.lit(0.0)) for k, y in ys.items()}
-        rows = rows.select(F.col(f"`{symbol}`").alias("s"), F.col(f"`{time}`").alias("date"), SLOT, "__live", *[F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(factors)], *[y.alias(k) for k, y in ys.items()])
-        self.rows = written(rows, "rows")
-        self.days = days.select(F.col(f"`{time}`").alias("date"), SLOT)
-        self.ycols = [f"__y{h}" for h in self.horizons]
-        keys = ["date", SLOT, "factor"]
-        long = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"f{i}").alias("x")) for i, f in enumerate(factors)]))
-        valid = self.rows.where("__live").select("s", "date", SLOT, *self.ycols, long.alias("fx")).select("s", "date", SLOT, *self.ycols, "fx.*").where("x is not null")
-        day = Window.partitionBy(*keys)
-        self.cuts = None
+        rows = written(rows.select(F.col(f"`{symbol}`").alias("s"), F.col(f"`{time}`").alias("date"), "__live", *[F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(factors)], *[y.alias(k) for k, y in ys.items()]), "rows")
+        self.days = written(day_index(rows, "date"), "days")
+        self.n_days, self.n_rows = self.days.count(), rows.count()
+        self.rows = rows.join(self.days, "date")
+        self.cuts: dict[str, tuple] = {}
         if binning == "global":
-            self.cuts = written(global_cuts(valid.select("factor", "x"), quantiles), "cuts")
-        valid = valid.withColumn("m", F.count(F.lit(1)).over(day)).where(F.col("m") >= max(gate, 1))
-        valid = valid.withColumn("fullrank", average_rank(F.col("x"), keys))
-        if self.cuts is None:
-            valid = valid.withColumn("pos", F.row_number().over(day.orderBy("x", "s")) - 1).withColumn("bucket", F.expr(f"cast((pos * {quantiles}L) div m as int)")).drop("pos")
-        else:
-            valid = valid.join(F.broadcast(self.cuts), "factor").withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("x"))))  # a row a factor
-        self.valid = written(valid, "valid")  # all tables read it
-
-    def pairs(self) -> DataFrame:
-        """Long in horizon too; rows without a label left out."""
-        each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"__y{h}").alias("y")) for h in self.horizons]))
-        return self.valid.select("s", "date", SLOT, "factor", "x", "bucket", each.alias("hy")).select("s", "date", SLOT, "factor", "x", "bucket", "hy.*").where("y is not null")
-
-    def dense(self, horizons: bool = True) -> DataFrame:
-        spark = self.rows.sparkSession
-        wanted = [(f, h) for f in self.factors for h in self.horizons] if horizons else [(f,) for f in self.factors]
-        grid = spark.createDataFrame(wanted, "factor string, horizon int" if horizons else "factor string")
+            long = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"f{i}").alias("x")) for i, f in enumerate(factors)])).alias("fx")
+            cuts = global_cuts(rows.where("__live").select(long).select("fx.*").where("x is not null"), quantiles)
+            self.cuts = {c["factor"]: (c["cuts"], c["least"], c["most"]) for c in cuts.collect()}  # a row a factor
+        self.global_bins = binning == "global"
+
+    def by_day(self) -> DataFrame:
+        """The rows, whole days together and in order of symbols."""
+        return self.rows.drop("date").repartition(SLOT).sortWithinPartitions(SLOT, "s")
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        """A row for each day and factor: counts, correlations by horizon, bins."""
+        bins = ", ".join(["bucket: int, lo: double, hi: double, count: int", *[f"s{h}: double, n{h}: bigint" for h in self.horizons]])
+        schema = f"{SLOT} int, factor string, n_rows long, n_valid int, n_masked int, ic array<struct<horizon: int, ic: double, rank_ic: double, spread: double>>, bins array<struct<{bins}>>"
+        found = self.by_day().drop("s").mapInArrow(_day_tables(_Days(self)), schema)
+        return written(found.join(self.days, SLOT), "daily")
+
+    @cached_property
+    def flows(self) -> DataFrame:
+        """Sums over symbols by factor, slot and horizon, or lag: ``SUMS``, ``MOMENTS``."""
+        n = len(self.factors)
+        symbol = self.rows.schema["s"].dataType.simpleString()
+        ranked = self.by_day().mapInArrow(_day_ranks(_Days(self)), f"s {symbol}, {SLOT} int, {phases.PACK} binary")
+        sums = ", ".join(f"v{i} double" for i in range(len(SUMS)))
+        moved = ranked.repartition("s").sortWithinPartitions("s", SLOT).mapInArrow(_symbol_flows(self.factors, self.horizons, self.q, self.n_days, 3 * n + 1), f"lagged boolean, factor string, k int, {SLOT} int, {sums}")
+        return written(moved.groupBy("lagged", "factor", "k", SLOT).agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(len(SUMS))]), "flows")
+
+    def dense(self) -> DataFrame:
+        wanted = [(f, h) for f in self.factors for h in self.horizons]
+        grid = self.days.sparkSession.createDataFrame(wanted, "factor string, horizon int")
         return self.days.crossJoin(F.broadcast(grid))  # days x the list of factors and horizons
 
 
+class _Days:
+    """A day's bins, ranks and weights, factor by factor."""
+
+    def __init__(self, b: _Base) -> None:
+        self.factors, self.horizons, self.q, self.gate, self.weighting = b.factors, b.horizons, b.q, b.gate, b.weighting
+        self.cuts, self.global_bins = b.cuts, b.global_bins
+
+    @staticmethod
+    def split(batches):
+        """Tables of one day each."""
+        for table in phases.whole_runs(batches, SLOT):
+            at = [*phases.starts(table.column(SLOT)), table.num_rows]
+            for a, z in zip(at, at[1:]):
+                yield table.slice(a, z - a)
+
+    def binned(self, factor: str, x: np.ndarray) -> np.ndarray:
+        """Bins of the values of a day, which are in order of symbols."""
+        if self.global_bins:
+            return sum((x > c).astype(np.int64) for c in self.cuts[factor][0])
+        bucket = np.empty(len(x), np.int64)
+        bucket[np.argsort(x, kind="stable")] = np.arange(len(x)) * self.q // len(x)
+        return bucket
+
+    def edges(self, factor: str, x: np.ndarray, bucket: np.ndarray, k: int) -> tuple[float, float]:
+        if not self.global_bins:
+            mine = x[bucket == k]
+            return mine.min(), mine.max()
+        cuts, least, most = self.cuts[factor]
+        return least if k == 0 else cuts[k - 1], most if k == self.q - 1 else cuts[min(k + 1, self.q - 1) - 1]
+
+    def weights(self, x: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        if self.weighting == "factor":
+            raw = x - x.mean()
+            all_ = np.abs(raw).sum()
+            return np.zeros(len(x)) if all_ == 0 else raw / all_
+        top, bottom = bucket == self.q - 1, bucket == 0
+        return np.where(bottom, -0.5 / max(bottom.sum(), 1), np.where(top, 0.5 / max(top.sum(), 1), 0.0))
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(float, copy=False)
+
+
+def _flags(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(bool)
+
+
+def _correlation(x: np.ndarray, y: np.ndarray) -> float | None:
+    """Of at least two rows; missing for a constant side and where it is no number."""
+    if len(x) < 2 or x.min() == x.max() or y.min() == y.max():
+        return None
+    with np.errstate(all="ignore"):
+        dx, dy = x - x.mean(), y - y.mean()
+        n = len(x) - 1
+        vx, vy = dx @ dx / n, dy @ dy / n
+        c = dx @ dy / n / np.sqrt(vx * vy) if vx > 0 and vy > 0 else np.nan
+    return None if np.isnan(c) else float(c)
+
+
+def _day_tables(days: _Days):
+    f, i, n = pa.float64(), pa.int32(), pa.int64()
+    line = pa.struct([("horizon", i), ("ic", f), ("rank_ic", f), ("spread", f)])
+    bin_ = pa.struct([("bucket", i), ("lo", f), ("hi", f), ("count", i), *[x for h in days.horizons for x in ((f"s{h}", f), (f"n{h}", n))]])
+    schema = pa.schema([(SLOT, i), ("factor", pa.string()), ("n_rows", n), ("n_valid", i), ("n_masked", i), ("ic", pa.list_(line)), ("bins", pa.list_(bin_))])
+
+    def run(batches):
+        for table in days.split(batches):
+            live, n = _flags(table, "__live"), table.num_rows
+            ys = {h: _column(table, f"__y{h}") for h in days.horizons}
+            out = []
+            for i, factor in enumerate(days.factors):
+                x = _column(table, f"f{i}")
+                there = ~np.isnan(x)
+                rows = np.flatnonzero(there & live)
+                one = {SLOT: table.column(SLOT)[0].as_py(), "factor": factor, "n_rows": n, "n_valid": len(rows), "n_masked": int((there & ~live).sum())}
+                thick = len(rows) >= max(days.gate, 1)
+                x = x[rows]
+                bucket = days.binned(factor, x) if thick else np.empty(0, np.int64)
+                bins = {int(k): dict(zip(("lo", "hi"), map(float, days.edges(factor, x, bucket, k))), bucket=int(k), count=int(c)) for k, c in zip(*np.unique(bucket, return_counts=True))}
+                ic = []
+                for h, y in ys.items():
+                    line: dict = {"horizon": h, "ic": None, "rank_ic": None, "spread": None}
+                    if thick:
+                        y = y[rows]
+                        known = ~np.isnan(y)
+                        a, b, place = x[known], y[known], bucket[known]
+                        with np.errstate(all="ignore"):
+                            sums, counts = np.bincount(place, b, days.q), np.bincount(place, minlength=days.q)
+                            for k, found in bins.items():
+                                found |= {f"s{h}": float(sums[k]) if counts[k] else None, f"n{h}": int(counts[k])}
+                            if len(a) >= max(days.gate, 2):
+                                same = np.zeros(len(a), np.int64)
+                                spread = sums[-1] / counts[-1] - sums[0] / counts[0] if counts[-1] and counts[0] else np.nan
+                                line |= {"ic": _correlation(a, b), "rank_ic": _correlation(arrays.ranks(a, same, share=False), arrays.ranks(b, same, share=False)), "spread": None if np.isnan(spread) else float(spread)}
+                    ic.append(line)
+                out.append(one | {"ic": ic, "bins": list(bins.values())})
+            yield from pa.Table.from_pylist(out, schema).to_batches()
+
+    return run
+
+
+def _day_ranks(days: _Days):
+    """Packed for each row: ranks about the day's middle, bins and weights of all
+    factors (missing where they are not valid), and the next day's return."""
+
+    def run(batches):
+        for table in days.split(batches):
+            live, n = _flags(table, "__live"), table.num_rows
+            out = np.full((3 * len(days.factors) + 1, n), np.nan)
+            for i, factor in enumerate(days.factors):
+                x = _column(table, f"f{i}")
+                rows = np.flatnonzero(~np.isnan(x) & live)
+                if len(rows) < max(days.gate, 1):
+                    continue
+                x = x[rows]
+                bucket = days.binned(factor, x)
+                with np.errstate(all="ignore"):
+                    out[3 * i : 3 * i + 3, rows] = arrays.ranks(x, np.zeros(len(x), np.int64), share=False) - (len(x) + 1) / 2, bucket, days.weights(x, bucket)
+            if 1 in days.horizons:
+                out[-1] = _column(table, "__y1")
+            whole = pa.Table.from_arrays([table.column("s"), table.column(SLOT), pa.chunked_array([phases._packed(list(out), n)])], names=["s", SLOT, phases.PACK])
+            yield from whole.combine_chunks().to_batches(max_chunksize=phases.ROWS)
+
+    return run
+
+
+#: Sums of a horizon's rows in ``flows``, and of a lag's.
+SUMS = ("gross", "moved", "top_kept", "top", "bottom_kept", "bottom", "valid")
+MOMENTS = ("n", "a", "p", "aa", "pp", "ap")
+
+
+def _symbol_flows(factors: list[str], horizons: list[int], q: int, n_days: int, width: int):
+    """Sums over the symbols of a task. A symbol's rows lie on a line of slots from its
+    first to its last, with room behind for the longest look back."""
+    room = max(*horizons, *LAGS)
+
+    def run(batches):
+        flow = np.zeros((len(factors), len(horizons), len(SUMS), n_days))
+        lags = np.zeros((len(factors), len(LAGS), len(MOMENTS), n_days))
+        for table in phases.whole_runs(batches, "s"):
+            slot = table.column(SLOT).to_numpy().astype(np.int64)
+            first = phases.starts(table.column("s"))
+            last = np.r_[first[1:], len(slot)] - 1
+            spans = slot[last] - slot[first] + 1 + room
+            begin = np.cumsum(spans) - spans - slot[first]  # where slot 0 would be
+            place = slot + np.repeat(begin, last - first + 1)
+            size = int(spans.sum())
+            day = np.arange(size) - np.repeat(begin, spans)
+            inside = np.flatnonzero(day < n_days)
+            at = day[inside]
+            total = lambda v: np.bincount(at, v[inside], n_days)
+            packed = phases._unpacked(table.column(phases.PACK), width)
+
+            def line(column: np.ndarray, empty: float) -> np.ndarray:
+                out = np.full(size, empty)
+                out[place] = column
+                return out
+
+            def back(x: np.ndarray, k: int, empty) -> np.ndarray:
+                return np.r_[np.full(min(k, size), empty), x[: max(size - k, 0)]] if k else x
+
+            paid = line(packed[:, -1], np.nan)
+            for i in range(len(factors)):
+                rank, bucket, weight = packed[:, 3 * i : 3 * i + 3].T
+                valid = ~np.isnan(bucket)
+                rank = line(rank, np.nan)
+                top, bottom = line(bucket == q - 1, 0.0) > 0, line(bucket == 0, 0.0) > 0
+                w = line(np.where(valid, weight, 0.0), 0.0)
+                for j, h in enumerate(horizons):
+                    sums = flow[i, j]
+                    if 1 in horizons:
+                        with np.errstate(all="ignore"):
+                            held, some = w.copy(), w != 0
+                            for k in range(1, h):
+                                held += back(w, k, 0.0)
+                                some |= back(w, k, 0.0) != 0
+                            held /= np.minimum(h, day + 1)
+                            sums[0] += total(np.where(some & ~np.isnan(paid), held * paid, 0.0))
+                            sums[1] += total(np.abs(held - back(held, 1, 0.0)))
+                    for k, outer in ((2, top), (4, bottom)):
+                        sums[k] += total(outer & back(outer, h, False))
+                        sums[k + 1] += total(outer)
+                    sums[6] += np.bincount(slot[valid], minlength=n_days)
+                for j, k in enumerate(LAGS):
+                    past = back(rank, k, np.nan)
+                    both = ~np.isnan(rank) & ~np.isnan(past)
+                    a, p = np.where(both, rank, 0.0), np.where(both, past, 0.0)
+                    for v, x in enumerate((both, a, p, a * a, p * p, a * p)):
+                        lags[i, j, v] += total(x)
+        for lagged, keys, sums in ((False, horizons, flow), (True, LAGS, lags)):
+            for i, factor in enumerate(factors):
+                for j, k in enumerate(keys):
+                    some = np.flatnonzero((sums[i, j] != 0).any(axis=0))
+                    if len(some):
+                        values = [pa.array(x) for x in sums[i, j][:, some]]
+                        values += [pa.nulls(len(some), pa.float64())] * (len(SUMS) - len(values))
+                        keyed = [pa.array([lagged] * len(some)), pa.array([factor] * len(some)), pa.array([k] * len(some), pa.int32()), pa.array(some.astype(np.int32))]
+                        yield pa.RecordBatch.from_arrays([*keyed, *values], names=["lagged", "factor", "k", SLOT, *[f"v{v}" for v in range(len(SUMS))]])
+
+    return run
+
+
+def _flow(b: _Base, lagged: bool) -> DataFrame:
+    names = MOMENTS if lagged else SUMS
+    return b.flows.where(F.col("lagged") == lagged).select("factor", F.col("k").alias("lag" if lagged else "horizon"), SLOT, *[F.col(f"v{i}").alias(n) for i, n in enumerate(names)])
+
+
 def _coverage(b: _Base) -> DataFrame:
-    count = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("int")
-    each = [F.struct(F.lit(f).alias("factor"), count(F.col(f"f{i}").isNotNull() & F.col("__live")).alias("n_valid"), count(F.col(f"f{i}").isNotNull() & ~F.col("__live")).alias("n_masked")) for i, f in enumerate(b.factors)]
-    return b.rows.groupBy("date", SLOT).agg(F.array(*each).alias("c"), F.count(F.lit(1)).alias("n_rows")).select("date", SLOT, "n_rows", F.explode("c").alias("c")).select("date", SLOT, "n_rows", "c.*")
+    return b.daily.select("date", SLOT, "factor", "n_rows", "n_valid", "n_masked")
 
 
 def _ic(b: _Base) -> DataFrame:
-    keys = ["date", SLOT, "factor", "horizon"]
-    pairs = b.pairs()
-    pairs = pairs.withColumns({"rx": average_rank(F.col("x"), keys), "ry": average_rank(F.col("y"), keys)})
-    n = F.count(F.lit(1))
-    mean = lambda k: F.avg(F.when(F.col("bucket") == k, F.col("y")))
-    same = lambda c: c
-    got = pairs.groupBy(*keys).agg(
-        n.alias("n"), pearson(n, F.col("x"), F.col("y"), same).alias("ic"), pearson(n, F.col("rx"), F.col("ry"), same).alias("rank_ic"), (mean(b.q - 1) - mean(0)).alias("spread")
-    )
-    enough = F.col("n") >= max(b.gate, 2)
-    return b.dense().join(got, keys, "left").select(*keys, *[F.when(enough, known(F.col(c))).alias(c) for c in ("ic", "rank_ic", "spread")])
+    return b.daily.select("date", SLOT, "factor", F.explode("ic").alias("c")).select("date", SLOT, "factor", "c.*")
 
 
 def _quantiles(b: _Base) -> DataFrame:
-    means = [F.avg(y).alias(f"mean_ret_{h}") for y, h in zip(b.ycols, b.horizons)]
-    sums = [x for y, h in zip(b.ycols, b.horizons) for x in (F.sum(y).alias(f"__s{h}"), F.count(y).alias(f"__n{h}"))]
-    lo, hi = F.min("x"), F.max("x")
-    if b.cuts is not None:
-        lo = F.when(F.col("bucket") == 0, F.first("least")).otherwise(F.try_element_at(F.first("cuts"), F.greatest(F.col("bucket"), F.lit(1))))
-        hi = F.when(F.col("bucket") == b.q - 1, F.first("most")).otherwise(F.try_element_at(F.first("cuts"), F.least(F.col("bucket") + 1, F.lit(b.q - 1))))
-    return b.valid.groupBy("date", SLOT, "factor", "bucket").agg(lo.alias("bin_lo"), hi.alias("bin_hi"), F.count(F.lit(1)).cast("int").alias("count"), *means, *sums)
+    each = b.daily.select("date", SLOT, "factor", F.explode("bins").alias("b")).select("date", SLOT, "factor", "b.*")
+    means = [F.try_divide(F.col(f"s{h}"), F.col(f"n{h}")).alias(f"mean_ret_{h}") for h in b.horizons]
+    sums = [x for h in b.horizons for x in (F.col(f"s{h}").alias(f"__s{h}"), F.col(f"n{h}").alias(f"__n{h}"))]
+    return each.select("date", SLOT, "factor", "bucket", F.col("lo").alias("bin_lo"), F.col("hi").alias("bin_hi"), "count", *means, *sums)
 
 
 def newey_west_t(series: np.ndarray, lag: int) -> float:
@@ -239,61 +450,33 @@ def _series(group: pd.DataFrame) -> pd.DataFrame:
 _SERIES = "factor string, horizon int, n_days int, " + ", ".join(f"{n} double" for n in SUMMARY[3:15])
 
 
-def _turnover(b: _Base, states: DataFrame) -> DataFrame:
+def _turnover(b: _Base) -> DataFrame:
     """Share of a day's outer buckets that was not in them ``horizon`` days before."""
-    sets = b.valid.where((F.col("bucket") == 0) | (F.col("bucket") == b.q - 1)).select("factor", SLOT, "s", (F.col("bucket") != 0).alias("top"))
-    each = F.explode(F.array(*map(F.lit, b.horizons))).alias("horizon")
-    past = sets.select("factor", (F.col(SLOT)).alias("was"), "s", F.col("top").alias("was_top"))
-    now = sets.select("factor", SLOT, "s", "top", each).withColumn("was", F.col(SLOT) - F.col("horizon"))
-    kept = now.join(past, ["factor", "was", "s"], "left").groupBy("factor", SLOT, "horizon").agg(*[
-        F.when(F.sum(mine.cast("int")) > 0, 1.0 - F.try_divide(F.sum((mine & F.coalesce(F.col("was_top") == F.lit(top), F.lit(False))).cast("double")), F.sum(mine.cast("double")))).alias(name)
-        for name, top, mine in (("top_turnover", True, F.col("top")), ("bottom_turnover", False, ~F.col("top")))
-    ])
-    before = states.select("factor", F.col(SLOT).alias("was"), F.lit(True).alias("was_valid"))
-    out = b.dense().join(kept, ["factor", SLOT, "horizon"], "left").withColumn("was", F.col(SLOT) - F.col("horizon")).join(before, ["factor", "was"], "left")
+    flow = _flow(b, False)
+    shares = [F.when(F.col(n) > 0, 1.0 - F.try_divide(F.col(f"{n}_kept"), F.col(n))).alias(f"{n}_turnover") for n in ("top", "bottom")]
+    before = flow.where("valid > 0").select("factor", "horizon", F.col(SLOT).alias("was"), F.lit(True).alias("was_valid"))
+    out = b.dense().join(flow.select("factor", "horizon", SLOT, *shares), ["factor", "horizon", SLOT], "left")
+    out = out.withColumn("was", F.col(SLOT) - F.col("horizon")).join(before, ["factor", "horizon", "was"], "left")
     return out.select("date", SLOT, "factor", "horizon", *[F.when(F.col("was_valid"), F.col(c)).alias(c) for c in ("top_turnover", "bottom_turnover")])
 
 
-def _portfolio(b: _Base, weighting: str, cost_bps: float) -> DataFrame:
+def _portfolio(b: _Base, cost_bps: float) -> DataFrame:
     if 1 not in b.horizons:
         nothing = [F.lit(None).cast("double").alias(c) for c in ("gross", "net", "turnover")]
         return b.dense().select("date", SLOT, "factor", "horizon", *nothing)
-    day = Window.partitionBy("date", SLOT, "factor")
-    if weighting == "factor":
-        raw = F.col("x") - F.avg("x").over(day)
-        weights = b.valid.withColumn("raw", raw).withColumn("all", F.sum(F.abs("raw")).over(day)).withColumn("w", F.when(F.col("all") > 0, F.col("raw") / F.col("all")).otherwise(0.0))
-    else:
-        n = lambda k: F.sum((F.col("bucket") == k).cast("double")).over(day)
-        weights = b.valid.withColumns({"nt": n(b.q - 1), "nb": n(0)})
-        weights = weights.withColumn("w", F.when(F.col("bucket") == 0, F.try_divide(F.lit(-0.5), F.col("nb"))).when(F.col("bucket") == b.q - 1, F.try_divide(F.lit(0.5), F.col("nt"))))
-    weights = weights.where("w is not null and w <> 0").select("factor", SLOT, "s", "w")
-    last = b.days.agg(F.max(SLOT).alias("last"))
-    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon")) for h in b.horizons])).alias("h")
-    spread = weights.crossJoin(F.broadcast(last)).select("*", each).select("factor", "s", "w", "last", F.col("h.horizon").alias("horizon"), SLOT)
-    spread = spread.select("factor", "s", "w", "horizon", F.explode(F.sequence(F.col(SLOT), F.least(F.col("last"), F.col(SLOT) + F.col("horizon") - 1))).alias(SLOT))
-    keys = ["factor", "horizon", SLOT]
-    held = spread.groupBy(*keys, "s").agg(F.sum("w").alias("w")).withColumn("w", F.col("w") / F.least(F.col("horizon"), F.col(SLOT) + 1))
-    moved = held.select(*keys, "s", "w").union(held.crossJoin(F.broadcast(last)).where(F.col(SLOT) < F.col("last")).select("factor", "horizon", (F.col(SLOT) + 1).alias(SLOT), "s", (-F.col("w")).alias("w")))
-    turned = moved.groupBy(*keys, "s").agg(F.sum("w").alias("d")).groupBy(*keys).agg((F.sum(F.abs("d")) / 2).alias("turnover"))
-    paid = b.rows.select("s", SLOT, F.col("__y1").alias("r")).where("r is not null")
-    gross = held.join(paid, ["s", SLOT]).groupBy(*keys).agg(F.sum(F.col("w") * F.col("r")).alias("gross"))
-    out = b.dense().join(gross, keys, "left").join(turned, keys, "left")
-    turnover = F.when(F.col(SLOT) > 0, F.coalesce("turnover", F.lit(0.0)))
+    out = b.dense().join(_flow(b, False).select("factor", "horizon", SLOT, "gross", "moved"), ["factor", "horizon", SLOT], "left")
+    turnover = F.when(F.col(SLOT) > 0, F.coalesce(F.col("moved") / 2, F.lit(0.0)))
     gross = F.coalesce("gross", F.lit(0.0))
     return out.select("date", SLOT, "factor", "horizon", known(gross).alias("gross"), known(gross - F.coalesce(turnover, F.lit(0.0)) * cost_bps * 1e-4).alias("net"), turnover.alias("turnover"))
 
 
 def _autocorr(b: _Base) -> DataFrame:
-    ranks = b.valid.select("factor", SLOT, "s", F.col("fullrank").alias("a"))
-    lags = F.explode(F.array(*map(F.lit, LAGS))).alias("lag")
-    past = ranks.select("factor", "s", F.col(SLOT).alias("was"), F.col("a").alias("p"))
-    both = ranks.select("*", lags).withColumn("was", F.col(SLOT) - F.col("lag")).join(past, ["factor", "s", "was"])
-    n = F.count(F.lit(1))
-    daily = both.groupBy("factor", "lag", SLOT).agg(pearson(n, F.col("a"), F.col("p"), lambda c: c).alias("r"))
-    mean = daily.groupBy("factor", "lag").agg(F.avg("r").alias("rank_autocorr"))
-    spark = b.rows.sparkSession
-    grid = spark.createDataFrame([(f, k) for f in b.factors for k in LAGS], "factor string, lag int").crossJoin(F.broadcast(b.days.agg(F.count(F.lit(1)).alias("n_days"))))
-    return grid.where("lag < n_days").join(mean, ["factor", "lag"], "left").select("factor", "lag", "rank_autocorr")
+    c = {n: F.col(n) for n in MOMENTS}
+    va, vp = c["n"] * c["aa"] - c["a"] * c["a"], c["n"] * c["pp"] - c["p"] * c["p"]
+    r = F.when((c["n"] >= 2) & (va > 0) & (vp > 0), known((c["n"] * c["ap"] - c["a"] * c["p"]) / (F.sqrt(va) * F.sqrt(vp))))
+    mean = _flow(b, True).groupBy("factor", "lag").agg(F.avg(r).alias("rank_autocorr"))
+    grid = b.days.sparkSession.createDataFrame([(f, k) for f in b.factors for k in LAGS if k < b.n_days], "factor string, lag int")
+    return grid.join(mean, ["factor", "lag"], "left").select("factor", "lag", "rank_autocorr")
 
 
 def year_month(df: DataFrame, name: str) -> tuple[Column, Column] | None:
@@ -314,14 +497,31 @@ def year_month(df: DataFrame, name: str) -> tuple[Column, Column] | None:
     return F.when(ok, year), F.when(ok, month)
 
 
-def _monthly(b: _Base, ic: DataFrame) -> DataFrame | None:
-    keys = year_month(b.days, "date")
-    if keys is None or b.days.where(keys[0].isNull()).limit(1).collect():
-        return None
-    got = ic.groupBy(keys[0].alias("year"), keys[1].alias("month"), "factor", "horizon").agg(F.avg("ic").alias("ic_mean"), F.avg("rank_ic").alias("rank_ic_mean"))
+def _monthly(b: _Base) -> DataFrame:
+    year, month = year_month(b.days, "date")
+    got = _ic(b).groupBy(year.alias("year"), month.alias("month"), "factor", "horizon").agg(F.avg("ic").alias("ic_mean"), F.avg("rank_ic").alias("rank_ic_mean"))
     return got.where("ic_mean is not null or rank_ic_mean is not null")
 
 
+def _summary(b: _Base, cost_bps: float) -> DataFrame:
+    """A row for each factor and horizon."""
+    coverage, quantile, turnover, portfolio = _coverage(b), _quantiles(b), _turnover(b), _portfolio(b, cost_bps)
+    tau = F.udf(lambda rows: kendall_tau(np.array([m for _, m in sorted(rows)])), "double")
+    pooled = reduce(DataFrame.union, [quantile.groupBy("factor", F.lit(h).alias("horizon"), "bucket").agg((F.sum(f"__s{h}") / F.nullif(F.sum(f"__n{h}"), F.lit(0))).alias("mean")) for h in b.horizons])
+    monotone = pooled.where("mean is not null").groupBy("factor", "horizon").agg(F.collect_list(F.struct("bucket", "mean")).alias("means")).select("factor", "horizon", tau("means").alias("monotonicity"))
+    covered = coverage.groupBy("factor").agg(F.avg(F.col("n_valid") / F.col("n_rows")).alias("avg_coverage"))
+    year = F.lit(DAYS_A_YEAR)
+    flows = portfolio.groupBy("factor", "horizon").agg(
+        (F.avg("gross") * year).alias("ls_gross_ann"), (F.avg("net") * year).alias("ls_net_ann"), F.avg("net").alias("__mean"), F.stddev_samp("net").alias("__std"), F.avg("turnover").alias("ls_turnover")
+    )
+    flows = flows.withColumn("ls_ir", known(divide(F.col("__mean"), F.col("__std")) * F.sqrt(year)))
+    outer = turnover.groupBy("factor", "horizon").agg(F.avg("top_turnover").alias("top_turnover"), F.avg("bottom_turnover").alias("bottom_turnover"))
+    series = _ic(b).groupBy("factor", "horizon").applyInPandas(_series, _SERIES)
+    keys = ["factor", "horizon"]
+    summary = series.join(monotone, keys, "left").join(covered, "factor", "left").join(flows, keys, "left").join(outer, keys, "left")
+    return summary.select("factor", "horizon", "n_days", *[known(F.col(c)).alias(c) for c in SUMMARY[3:]])
+
+
 def evaluate(df: DataFrame, symbol_col: str, time_col: str, factor_cols: list[str], label_cols: list[str] | None = None, quantiles: int = 10, binning: str = "daily", group_col: str | None = None, tradable_col: str | None = None, demean: str = "none", min_cs_count: int = 30, cost_bps: float = 0.0, weighting: str = "quantile", factor_source: str | None = None, output_dir: str | None = None, validate: bool = True) -> EvalResult:
     """Eight tables on the factors against the labels ``ret_{h}``. ``factor_source``
     reads the factors from Parquet; ``output_dir`` writes the tables as they are
@@ -354,45 +554,29 @@ def evaluate(df: DataFrame, symbol_col: str, time_col: str, factor_cols: list[st
         df = df.select(*[f"`{c}`" for c in df.columns if c not in factor_cols]).join(source, [symbol_col, time_col])
     for name in factor_cols:
         P.require_double(df, name)
-    b = _Base(df, symbol_col, time_col, factor_cols, labels, quantiles, binning, group_col if demean == "group" else None, tradable_col, demean, min_cs_count)
-    n_rows = b.rows.count()
-    made: dict[str, DataFrame] = {}
-    coverage = _coverage(b)
-    ic = _ic(b)
-    quantile = _quantiles(b)
-    states = b.valid.select("factor", SLOT).distinct()
-    turnover, portfolio = _turnover(b, states), _portfolio(b, weighting, cost_bps)
-    tau = F.udf(lambda rows: kendall_tau(np.array([m for _, m in sorted(rows)])), "double")
-    pooled = reduce(DataFrame.union, [quantile.groupBy("factor", F.lit(h).alias("horizon"), "bucket").agg((F.sum(f"__s{h}") / F.nullif(F.sum(f"__n{h}"), F.lit(0))).alias("mean")) for h in b.horizons])
-    monotone = pooled.where("mean is not null").groupBy("factor", "horizon").agg(F.collect_list(F.struct("bucket", "mean")).alias("means")).select("factor", "horizon", tau("means").alias("monotonicity"))
-    covered = coverage.groupBy("factor").agg(F.avg(F.col("n_valid") / F.col("n_rows")).alias("avg_coverage"))
-    year = F.lit(DAYS_A_YEAR)
-    flows = portfolio.groupBy("factor", "horizon").agg(
-        (F.avg("gross") * year).alias("ls_gross_ann"), (F.avg("net") * year).alias("ls_net_ann"), F.avg("net").alias("__mean"), F.stddev_samp("net").alias("__std"), F.avg("turnover").alias("ls_turnover")
-    )
-    flows = flows.withColumn("ls_ir", known(divide(F.col("__mean"), F.col("__std")) * F.sqrt(year)))
-    outer = turnover.groupBy("factor", "horizon").agg(F.avg("top_turnover").alias("top_turnover"), F.avg("bottom_turnover").alias("bottom_turnover"))
-    series = ic.groupBy("factor", "horizon").applyInPandas(_series, _SERIES)
-    keys = ["factor", "horizon"]
-    summary = series.join(monotone, keys, "left").join(covered, "factor", "left").join(flows, keys, "left").join(outer, keys, "left")
-    summary = summary.select("factor", "horizon", "n_days", *[known(F.col(c)).alias(c) for c in SUMMARY[3:]])
-    made["summary"] = summary
-    made["rank_autocorr"] = _autocorr(b)
-    made["ic"] = ic.select("date", "factor", "horizon", "ic", "rank_ic")
-    made["quantile_returns"] = quantile.select("date", "factor", (F.col("bucket") + 1).alias("bin"), "bin_lo", "bin_hi", "count", *[f"mean_ret_{h}" for h in b.horizons])
-    made["coverage"] = coverage.select("date", "factor", "n_valid", "n_masked")
-    made["turnover"] = turnover.select("date", "factor", "horizon", "top_turnover", "bottom_turnover")
-    made["portfolio"] = portfolio.select("date", "factor", "horizon", "gross", "net", "turnover")
-    monthly = _monthly(b, ic)
-    if monthly is not None:
-        made["ic_monthly"] = monthly
+    b = _Base(df, symbol_col, time_col, factor_cols, labels, quantiles, binning, group_col if demean == "group" else None, tradable_col, demean, weighting, min_cs_count)
+    day = ["date", "factor", "horizon"]
+    makers: dict[str, Callable[[], DataFrame]] = {
+        "summary": lambda: _summary(b, cost_bps),
+        "rank_autocorr": lambda: _autocorr(b),
+        "ic": lambda: _ic(b).select(*day, "ic", "rank_ic"),
+        "quantile_returns": lambda: _quantiles(b).select("date", "factor", (F.col("bucket") + 1).alias("bin"), "bin_lo", "bin_hi", "count", *[f"mean_ret_{h}" for h in b.horizons]),
+        "coverage": lambda: _coverage(b).select("date", "factor", "n_valid", "n_masked"),
+        "turnover": lambda: _turnover(b).select(*day, "top_turnover", "bottom_turnover"),
+        "portfolio": lambda: _portfolio(b, cost_bps).select(*day, "gross", "net", "turnover"),
+    }
+    months = year_month(b.days, "date")
+    monthly = months is not None and not b.days.where(months[0].isNull()).limit(1).collect()
+    if monthly:
+        makers["ic_monthly"] = lambda: _monthly(b)
+    made: Mapping[str, DataFrame] = Tables(makers)
     meta = {
         "symbol_col": symbol_col, "time_col": time_col, "quantiles": quantiles, "binning": binning, "demean": demean, "min_cs_count": min_cs_count, "cost_bps": cost_bps, "weighting": weighting,
-        "horizons": b.horizons, "label_cols": [n for n, _ in labels], "factor_count": len(factor_cols), "group_col": group_col, "tradable_col": tradable_col, "n_days": b.days.count(), "n_rows": n_rows,
+        "horizons": b.horizons, "label_cols": [n for n, _ in labels], "factor_count": len(factor_cols), "group_col": group_col, "tradable_col": tradable_col, "n_days": b.n_days, "n_rows": b.n_rows,
         "factor_source": factor_source, "output_dir": output_dir,
     }
     if output_dir is not None:
-        save_tables(spark, made, meta | {"has_ic_monthly": monthly is not None}, output_dir)
+        save_tables(spark, made, meta | {"has_ic_monthly": monthly}, output_dir)
         made = {n: spark.read.parquet(f"{output_dir}/{n}.parquet") for n in made}
     return EvalResult(made, meta, output_dir, spark)
 
