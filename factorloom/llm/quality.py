@@ -10,14 +10,16 @@ labelled rows (``sample_rows``, those of least hash); scoring reads all rows.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
-from collections import Counter
+from functools import cached_property
 from itertools import chain
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,13 +112,20 @@ def _platt(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
-    """Weights by feature name, and the curve from margin to score."""
+    """Weights by feature name, and the curve from margin to score. A dict of the
+    weights is made where texts are scored, never to be sent."""
 
-    def __init__(self, weights: dict[bytes, float], ratios: dict[bytes, float], bias: float, slope: float, offset: float) -> None:
+    def __init__(self, names: pa.Array, weights: np.ndarray, ratios: np.ndarray, bias: float, slope: float, offset: float) -> None:
         self.bias, self.slope, self.offset = bias, slope, offset
-        self.words = {k: (weights[k] * r, r * r) for k, r in ratios.items() if k[:1] != b" "}
-        self.shapes = {tuple(k[1:].split(b" ")): (weights[k] * r, r * r) for k, r in ratios.items() if k[:1] == b" "}
-        self.both = self.words | self.shapes
+        self.names, self.weights, self.squares = names, weights * ratios, ratios * ratios
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "both"}
+
+    @cached_property
+    def both(self) -> dict:
+        keys = (tuple(k[1:].split(b" ")) if k[:1] == b" " else k for k in self.names.to_pylist())
+        return dict(zip(keys, zip(self.weights.tolist(), self.squares.tolist())))
 
     def score(self, features: set) -> float:
         total = norm = 0.0
@@ -127,32 +136,59 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * margin + self.offset))))
 
 
-def fit(samples: list[tuple[int, list[bytes]]], max_features: int = MAX_FEATURES, strength: float = 1.0) -> Model:
-    """``samples``: label 0 or 1 and feature names of each text. Without two
-    classes the score is the share of label 1, or one half of nothing."""
-    labels = np.array([1 if y else -1 for y, _ in samples])
-    texts = Counter(chain.from_iterable(f for _, f in samples))
-    names = sorted(sorted((k for k, c in texts.items() if c >= LEAST_TEXTS)), key=lambda k: -texts[k])[:max_features]
-    if not names or len(set(labels.tolist())) < 2:
+def _coded(got: pa.Table) -> tuple[np.ndarray, list[np.ndarray], pa.Array]:
+    """Labels, sorted feature numbers of each text, and the sorted names that they
+    number; texts in order of label and features, whatever the order of rows. Names
+    stay Arrow bytes, as Python objects would take ten times their memory."""
+    if not got.num_rows:
+        return np.empty(0, np.int64), [], pa.array([], pa.binary())
+    labels = got.column("label").to_numpy().astype(np.int64)
+    ends = np.cumsum(pc.list_value_length(got.column("features")).to_numpy())[:-1]
+    coded = pc.list_flatten(got.column("features")).dictionary_encode().unify_dictionaries().chunks
+    names = coded[0].dictionary
+    order = pc.sort_indices(names).to_numpy()
+    rank = np.empty(len(order), dtype=np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    texts = np.split(np.concatenate([rank[c.indices.to_numpy()] for c in coded]), ends)
+    for t in texts:
+        t.sort()
+    by = sorted(range(len(texts)), key=lambda i: (labels[i], texts[i].astype(">u4").tobytes()))
+    return labels[by], [texts[i] for i in by], names.take(pa.array(order))
+
+
+def fit(found: np.ndarray, texts: list[np.ndarray], names: pa.Array, max_features: int = MAX_FEATURES, strength: float = 1.0) -> Model:
+    """``found``, ``texts``, ``names``: label 0 or 1 and feature numbers of each
+    text, and the feature names in order. Without two classes the score is the
+    share of label 1, or one half of nothing."""
+    labels = np.where(found != 0, 1, -1)
+    count = np.bincount(np.concatenate(texts), minlength=len(names)) if texts else np.zeros(0, dtype=np.int64)
+    listed = np.flatnonzero(count >= LEAST_TEXTS)
+    listed = listed[np.lexsort((listed, -count[listed]))][:max_features]
+    if not len(listed) or len(set(labels.tolist())) < 2:
         share = (float((labels > 0).sum()) + 1) / (len(labels) + 2)
-        return Model({}, {}, 0.0, 1.0, math.log(share / (1 - share)))
-    at = {k: i for i, k in enumerate(names)}
-    rows = [np.array(sorted(at[k] for k in f if k in at), dtype=np.int64) for _, f in samples]
-    pos = np.ones(len(names))
-    neg = np.ones(len(names))
-    for y, r in zip(labels, rows):
+        return Model(names[:0], np.empty(0), np.empty(0), 0.0, 1.0, math.log(share / (1 - share)))
+    at = np.full(len(names), -1, dtype=np.int64)
+    at[listed] = np.arange(len(listed))
+    ends = np.cumsum([np.count_nonzero(at[t] >= 0) for t in texts])
+    rows = np.split(np.empty(ends[-1], dtype=np.int64), ends[:-1])  # parts of one array, which goes back to the system whole
+    values = np.split(np.empty(ends[-1]), ends[:-1])
+    pos = np.ones(len(listed))
+    neg = np.ones(len(listed))
+    for y, r, t in zip(labels, rows, texts):
+        r[:] = np.sort(at[t][at[t] >= 0])
         (pos if y > 0 else neg)[r] += 1
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
-    values = [ratio[r] / max(1e-9, float(np.sqrt((ratio[r] ** 2).sum()))) for r in rows]
+    for r, v in zip(rows, values):
+        v[:] = ratio[r] / max(1e-9, float(np.sqrt((ratio[r] ** 2).sum())))
     half = len(labels) / 2
     cost = strength * np.where(labels > 0, half / (labels > 0).sum(), half / (labels < 0).sum())
     fold = np.array([zlib.crc32(str(i).encode()) % 4 for i in range(len(labels))])
     train = np.flatnonzero(fold != 0)
-    w = descend([rows[i] for i in train], [values[i] for i in train], labels[train], cost[train], len(names))
+    w = descend([rows[i] for i in train], [values[i] for i in train], labels[train], cost[train], len(listed))
     test = np.flatnonzero(fold == 0)
     margin = np.array([w[rows[i]] @ values[i] + w[-1] for i in test])
     slope, offset = _platt(margin, labels[test]) if len(set(labels[test].tolist())) == 2 else (2.0, 0.0)
-    return Model({k: float(w[i]) for k, i in at.items()}, {k: float(ratio[i]) for k, i in at.items()}, float(w[-1]), max(slope, 1e-6), offset)
+    return Model(names.take(pa.array(listed)), w[:-1], ratio, float(w[-1]), max(slope, 1e-6), offset)
 
 
 def _extract(batches):
@@ -162,6 +198,14 @@ def _extract(batches):
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.binary()))], names=["label", "features"])
 
 
+def _fitted(strength: float):
+    def run(batches):
+        got = pa.Table.from_batches(batches, pa.schema({"label": pa.int32(), "features": pa.list_(pa.binary())}))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(*_coded(got), strength=strength))], pa.binary())], names=["model"])
+
+    return run
+
+
 def held_out(key: str) -> Column:
     """crc32 of the id as text leaves 1 when divided by 3: not to be learnt from."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -170,7 +214,8 @@ def held_out(key: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS, strength: float = 1.0) -> Model:
     """Fit on ``sample_rows`` labelled rows at most. Held-out rows, null ids and
     labels other than 0 and 1 are left out; of several labels of an id the
-    greatest counts, and of several texts the least."""
+    greatest counts, and of several texts the least. One task fits; the driver gets
+    the weights only, as the sample's features would stay in its memory."""
     small_batches(docs.sparkSession)
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key))
     chosen = (
@@ -180,9 +225,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     source = docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias("t"))
     found = source.join(F.broadcast(chosen), "id").select("id", "label", "t")  # sample_rows rows at most
     found = found.groupBy("id").agg(F.min("label").alias("label"), F.min("t").alias("t"))
-    got = found.select("label", "t").mapInArrow(_extract, "label int, features array<binary>").toArrow()
-    samples = sorted(zip(got.column("label").to_pylist(), map(sorted, got.column("features").to_pylist())))
-    return fit(samples, strength=strength)
+    sample = found.select("label", "t").mapInArrow(_extract, "label int, features array<binary>").repartition(1)
+    fitted = sample.mapInArrow(_fitted(strength), "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else fit(np.empty(0, np.int64), [], pa.array([], pa.binary()), strength=strength)
 
 
 def _scores(model):
